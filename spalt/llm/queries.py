@@ -16,6 +16,25 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from spalt.llm.pieces import encode
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    columns = ["n_tokens", "ids_sha256", "decoded_sha256", "spans_crc32"]
+    return encode(docs, public_tokenizers.path("piece_bpe_32k.model"), columns).select("doc_id", *columns)
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from spalt.llm.tokenid import length_histogram, suffix_sums
+
+    docs = read(spark, sf_dir, "documents")
+    return suffix_sums(length_histogram(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
+
+
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spalt.llm.simhash import near_groups
 
@@ -23,6 +42,15 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from spalt.llm.tokenid import read_token_files, write_token_files
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return read_token_files(write_token_files(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spalt.llm.quality import judge
 
@@ -32,7 +60,13 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *counts, base_failed.alias("base_failed"), "kept")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_line_dedup, op6_simhash_dedup, op8_quality_rules)}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spalt.llm.decontam import contaminated
+
+    return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_line_dedup, op3_sentencepiece, op4_token_counts, op6_simhash_dedup, op7_token_files, op8_quality_rules, op10_decontamination)}
 
 ORACLE: dict[str, str] = {
     "op2_line_dedup": r"""
