@@ -6,7 +6,8 @@ more than once in the table, the first by (doc_id, line number) stays; the lines
 merged over overlapping windows, are removed.
 
 Only keys and positions are shuffled to find repeats. A window that a large share of the rows hold is counted with
-partial sums, and its rows are joined to the one row of its key, a join whose large partitions AQE can split.
+partial sums, and its rows are joined to the one row of its key, a join whose large partitions AQE can split. All
+joins are merge joins, at every size: what they join grows with the table.
 
 Defined results: a null text stays null with no lines; a text of fewer than three lines stays; a text all of whose
 lines go becomes empty. A null doc_id is a document before all others. Rows with the same doc_id count as the same
@@ -45,9 +46,9 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, removed): the sorted line numbers that a document loses; documents that lose none have no row."""
     all_windows = windows(docs)
     repeated = materialize(all_windows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*KEY), "repeated")
-    found = materialize(all_windows.join(repeated, KEY), "found")
+    found = materialize(all_windows.join(repeated.hint("merge"), KEY), "found")
     first = materialize(found.groupBy(*KEY).agg(F.min(F.struct("doc_id", "pos")).alias("first")), "first")
-    later = found.join(first, KEY).where(F.struct("doc_id", "pos") > F.col("first"))
+    later = found.join(first.hint("merge"), KEY).where(F.struct("doc_id", "pos") > F.col("first"))
     lines = later.select("doc_id", F.explode(F.array(F.col("pos"), F.col("pos") + 1, F.col("pos") + 2)).alias("line"))
     return lines.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("removed"))
 
@@ -57,7 +58,7 @@ def dedup_lines(docs: DataFrame, names: dict[str, str] | None = None) -> DataFra
     names = names or {}
     key, taken = fresh("removed_id", docs), fresh("removed", docs)
     gone = materialize(removed_lines(docs.select("doc_id", "text")), "removed").select(F.col("doc_id").alias(key), F.col("removed").alias(taken))
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col(key)), "left")
+    joined = docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col(key)), "left")
     # `lines` is a column of its own, used several times: Spark splits a text once, not once for each line
     lines = fresh("lines", joined)
     joined = joined.withColumn(lines, split_lines(F.col("text")))
