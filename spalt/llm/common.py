@@ -14,6 +14,13 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 #: Rows in an Arrow batch that goes to a Python worker; texts of some hundred KB still make a moderate batch.
 BATCH_ROWS = 1000
+BATCH_BYTES = "16m"
+
+
+def arrow_batches(spark: SparkSession) -> None:
+    """Bound what an Arrow batch holds, in rows and in bytes, for the plans that follow."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,7 +67,7 @@ def with_text_columns(
     each field. keep: the columns of docs that stay (all by default).
     """
     keep = list(docs.columns if keep is None else keep)
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    arrow_batches(docs.sparkSession)
     slot = fresh("text__", docs)
     source = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").cast("string").alias(slot))
     kinds = [to_arrow_type(f.dataType) for f in fields]

@@ -35,6 +35,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_sums(length_histogram(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spalt.llm.suffixdedup import remove_repeats
+
+    return remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spalt.llm.simhash import near_groups
 
@@ -66,7 +72,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_line_dedup, op3_sentencepiece, op4_token_counts, op6_simhash_dedup, op7_token_files, op8_quality_rules, op10_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_line_dedup, op3_sentencepiece, op4_token_counts, op5_suffix_dedup, op6_simhash_dedup, op7_token_files, op8_quality_rules, op10_decontamination)}
 
 ORACLE: dict[str, str] = {
     "op2_line_dedup": r"""

@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from spalt.llm import simple8b
-from spalt.llm.common import BATCH_ROWS, materialize, with_text_columns
+from spalt.llm.common import arrow_batches, materialize, with_text_columns
 
 STORE = 400_000
 #: Lower- and upper-case letters of ASCII and Latin-1: one character each in any case, and composed already.
@@ -124,7 +124,7 @@ def write_token_files(docs: DataFrame, file: str, end_id: int, name: str = "toke
             )
             first += len(flat)
 
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    arrow_batches(docs.sparkSession)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("h"))
     dealt = keyed.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("h")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h")
     return materialize(dealt.select("doc_id", "text", F.spark_partition_id().alias(slot)).mapInArrow(run, ROW), name)
