@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spalt.llm.common import read
+from spalt.llm.common import crc32_mod, read
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spalt.llm.langid import predict, train
+
+    docs = read(spark, sf_dir, "documents")
+    held_out = F.coalesce(crc32_mod(F.col("doc_id"), 4) == 2, F.lit(False))
+    models = train(docs.where(~held_out).select("doc_id", "text", "lang"))
+    columns = ["lang_pred", "score", "cross_entropy", "rejected"]
+    return predict(docs.select("doc_id", "text"), models, keep=["doc_id"]).select("doc_id", held_out.alias("held_out"), *columns)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,13 +76,23 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *counts, base_failed.alias("base_failed"), "kept")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spalt.llm.toxicity import CUT, score, train
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(crc32_mod(F.col("doc_id"), 3) == 1, F.lit(False))
+    model = train(docs, read(spark, sf_dir, "labels"), ~held_out)
+    scored = score(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"), F.size("offending").cast("long").alias("n_offending"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spalt.llm.decontam import contaminated
 
     return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_line_dedup, op3_sentencepiece, op4_token_counts, op5_suffix_dedup, op6_simhash_dedup, op7_token_files, op8_quality_rules, op10_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_sentencepiece, op4_token_counts, op5_suffix_dedup, op6_simhash_dedup, op7_token_files, op8_quality_rules, op9_toxicity, op10_decontamination)}
 
 ORACLE: dict[str, str] = {
     "op2_line_dedup": r"""
