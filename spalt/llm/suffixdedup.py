@@ -183,6 +183,8 @@ class Group:
 def unpack(block: np.ndarray, bits: dict[int, bytes]) -> np.ndarray:
     """Answers to values in the order of keys()."""
     out = np.zeros(len(block), bool)
+    if not len(block):
+        return out
     here, first = np.unique(block, return_index=True)
     for b, i, j in zip(here.tolist(), first.tolist(), [*first.tolist()[1:], len(block)], strict=True):
         if b in bits:

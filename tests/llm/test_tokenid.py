@@ -1,0 +1,91 @@
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from spalt.llm import simple8b, tokenid
+from tests.llm.conftest import LONG
+
+FILE = public_tokenizers.path("word_bpe_49k.json")
+TEXTS = ["", " ", "It's IT'S don't 'sfoo !'s ''s", "<|endoftext|> a<|startoftext|>b", "ΣΑΣ İstanbul ß ÀÉ ×÷ ½ ²", "a\x1cb\x85c d x́y", "Ａｂ ﬁ 12a3", "éÉ'S'T", LONG[:50_000], "y" * 3000]
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 127, 128, 129, 1000])
+@pytest.mark.parametrize("most", [1, 2, 200, 50_000, 1 << 31, 1 << 59])
+def test_coding_round_trip(n, most):
+    v = np.random.default_rng(n).integers(0, most, n)
+    assert (simple8b.decode(simple8b.encode(v)) == v).all()
+
+
+def test_escapes_and_runs():
+    v = np.array([0] * 200 + [5, -1, 1 << 61, 7, -9, 3] + [1] * 70 + [-5, (1 << 60) - 1, 1 << 60])
+    assert (simple8b.decode(simple8b.encode(v)) == v).all()
+    assert len(simple8b.encode(np.zeros(6000, np.int64))) < 6000 / 4
+    with pytest.raises(ValueError):
+        simple8b.decode(b"other bytes")
+
+
+def test_ids_are_the_library_s():
+    codec, library = tokenid.WordCodec(FILE), Tokenizer.from_file(FILE)
+    assert codec.cuttable
+    assert codec.encode(TEXTS) == [e.ids for e in library.encode_batch(TEXTS, add_special_tokens=False)]
+
+
+def expected(rows):
+    library, out, at = Tokenizer.from_file(FILE), [], 0
+    for d, t in rows:
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 1]
+        out.append((d, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    return out
+
+
+def test_files_in_order(documents):
+    texts, ids = [None, *TEXTS, "b", "b"], [None, 40, 3, 7, 1, 90, 12, 2, 66, 5, 8, 20, 20]
+    out = tokenid.read_token_files(tokenid.write_token_files(documents(texts, ids).selectExpr("*", "1 AS shard"), FILE, 1))
+    rows = sorted(zip(ids, texts, strict=True), key=lambda r: (r[0] is not None, r[0] or 0))
+    assert sorted(map(tuple, out.collect()), key=lambda r: r[1]) == expected(rows)
+    assert tokenid.read_token_files(tokenid.write_token_files(documents([]), FILE, 1)).count() == 0
+
+
+def test_file_query(spark, small):
+    from spalt.llm.queries import QUERIES
+
+    rows = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect())
+    assert sorted(map(tuple, QUERIES["op7_token_files"](spark, small).collect())) == expected(rows)
+
+
+def lengths(texts):
+    e = tokenid.rank_encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return [len(e.encode_ordinary(t or "")) for t in texts]
+
+
+def check_sums(sums, true):
+    rows = {r.n_tokens: r for r in sums.collect()}
+    assert set(rows) == set(true)
+    for n, r in rows.items():
+        assert r.n_docs == true.count(n) and r.docs_at_least == sum(x >= n for x in true) and r.tokens_at_least == sum(x for x in true if x >= n)
+        assert r.docs_up_to == sum(x <= n for x in true) and r.truncated_tokens == sum(min(x, n) for x in true)
+        assert r.total_docs == len(true) and r.total_tokens == sum(true)
+
+
+def test_counts(documents):
+    texts = [None, *TEXTS, *TEXTS[2:5]]
+    sums = tokenid.suffix_sums(tokenid.length_histogram(documents(texts).selectExpr("*", "1 AS n_tokens"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN), span=4)
+    true = lengths(texts)
+    check_sums(sums, true)
+    for limit in (0, 1, 7, 1000, 10**9):
+        assert tokenid.truncated_total(sums, limit) == sum(min(x, limit) for x in true)
+    ordered = sorted(true)
+    for q in (0.1, 0.5, 0.9, 1.0):
+        assert tokenid.quantile(sums, q) == ordered[max(0, -int(-q * len(true) // 1) - 1)]
+    empty = tokenid.suffix_sums(tokenid.length_histogram(documents([]), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
+    assert empty.count() == 0 and tokenid.quantile(empty, 0.5) is None and tokenid.truncated_total(empty, 5) == 0
+
+
+def test_count_query(spark, small):
+    from spalt.llm.queries import QUERIES
+
+    check_sums(QUERIES["op4_token_counts"](spark, small), lengths([r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()]))
