@@ -18,12 +18,9 @@ _COUNT = np.array([1, *(n for n, _ in SELECTORS), 0], np.int64)
 
 
 def _widths(ids: np.ndarray) -> np.ndarray:
-    """Bits that each id needs, 64 for what only an escape holds."""
-    u = ids.view(np.uint64)
-    bits = np.zeros(ids.shape, np.uint8)
-    for k in (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60):
-        bits[u >> np.uint64(k - 1) > 0] = k  # more than k - 1 bits: k at least
-        bits[u >> np.uint64(k) > 0] = k + 1
+    """Bits that each id needs (one more, near powers of two, for some beyond 2^53), 64 for a negative one."""
+    bits = np.frexp(ids.astype(np.float64))[1].astype(np.uint8)
+    bits[ids < 0] = 64
     return bits
 
 
@@ -39,26 +36,27 @@ def encode(ids: np.ndarray) -> bytes:
         length[-1] = n % BLOCK
     need = _widths(v)
     choice = np.zeros((blocks, BLOCK), np.uint8)
-    for s in range(len(SELECTORS), 0, -1):  # the most ids that fit win: tried last
+    most, have = need.copy(), 1
+    for s in range(len(SELECTORS), 0, -1):  # from one id to many; the most ids that fit win
         count, bits = SELECTORS[s - 1]
-        most, have = need.copy(), 1
-        while have < count:  # maximum over a window of `count` ids, by doubling; past the block all is zero
-            step = min(have, count - have)
-            most[:, : BLOCK - step] = np.maximum(most[:, : BLOCK - step], most[:, step:])
-            have += step
-        choice[most <= bits] = s
+        for have in range(have, count):  # greatest need of the next ids; past the block all is zero
+            np.maximum(most[:, : BLOCK - have], need[:, have:], out=most[:, : BLOCK - have])
+        have = max(have, count)
+        fits = most <= bits
+        if not fits.any():
+            break  # more ids in fewer bits fit nowhere either
+        choice[fits] = s
     at, rows = np.zeros(blocks, np.int64), np.arange(blocks)
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    heads = np.zeros((blocks, BLOCK), bool)
     while len(rows):
-        c = choice[rows, at[rows]]
-        found.append((rows, at[rows], c))
-        at[rows] += _COUNT[c]
-        rows = rows[at[rows] < length[rows]]
-    if not found:
+        here = at[rows]
+        heads[rows, here] = True
+        at[rows] = here = here + _COUNT[choice[rows, here]]
+        rows = rows[here < length[rows]]
+    flat = np.flatnonzero(heads)
+    if not len(flat):
         return MAGIC + np.zeros(3, "<u4").tobytes()
-    block, place, chosen = (np.concatenate(x) for x in zip(*found, strict=True))
-    order = np.lexsort((place, block))
-    block, place, chosen = block[order], place[order], chosen[order].astype(np.int64)
+    block, place, chosen = flat // BLOCK, flat % BLOCK, choice.reshape(-1)[flat].astype(np.int64)
     size = 1 + (chosen == ESCAPE)
     word = np.cumsum(size) - size
     out = np.zeros(int(size.sum()), np.uint64)

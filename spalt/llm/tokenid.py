@@ -31,18 +31,32 @@ from pyspark.sql.window import Window
 from spalt.llm import simple8b
 from spalt.llm.common import arrow_batches, materialize, with_text_columns
 
-STORE = 400_000
-#: Lower- and upper-case letters of ASCII and Latin-1: one character each in any case, and composed already.
-_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+#: Words whose ids a worker remembers; beyond it, it starts anew.
+STORE = 600_000
+#: Lower- and upper-case letters of ASCII and Latin-1, one character each in any case and composed already, and other ASCII.
+_PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*")
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
+
+
+class _Places(dict):
+    """Word -> its number, given out as words come; `new` has those of late."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list = []
+
+    def __missing__(self, word) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
 
 
 class WordCodec:
     """Ids of the tokenizers library, found once for each word.
 
-    The file's normaliser and pre-tokenizer never look across ASCII white space, so a text's ids are those of its
-    pieces between white space. A piece of plain letters is cut further, as the file's own pattern cuts it; any other
-    goes to the library whole. Both are remembered, up to STORE of each.
+    The file's normaliser and pre-tokenizer never look across ASCII white space. A text of plain characters is cut into
+    lower-case words as the file's own pattern cuts it; any other text at ASCII white space alone, and a text with a
+    special token's string not at all. The library encodes each cut once; what it gave is kept in one flat array.
     """
 
     def __init__(self, file: str):
@@ -54,40 +68,44 @@ class WordCodec:
         spec = json.load(open(file, encoding="utf-8"))
         kinds = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
         pattern = ((spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0].get("pattern", {}).get("Regex")
-        known = pattern == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" and kinds == ["NFC", "Replace", "Lowercase"]
+        self.cuttable = pattern == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" and kinds == ["NFC", "Replace", "Lowercase"]
         specials = [x["content"] for x in spec.get("added_tokens", [])]
-        # a special token's string in a text is one id to the library, and may stand between other characters
         self.specials = re.compile("|".join(map(re.escape, specials)), re.IGNORECASE) if specials else None
-        self.cuttable = known and not any(re.search(r"\s", x) for x in specials)
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self.parts: dict[str, tuple[int, ...]] = {}
-
-    def _library(self, texts: list[str]) -> list[tuple[int, ...]]:
-        return [tuple(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.places = _Places()
+        self.flat, self.first = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def _cut(self, text: str) -> list:
+        if not self.cuttable or (self.specials and self.specials.search(text)):
+            return [text]
+        if _PLAIN.fullmatch(text):
+            return _PARTS.findall(text.lower())
+        return [b.decode() for b in text.encode().split()]  # bytes: ASCII white space alone
+
+    def encode_flat(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, how many each text has)."""
+        if len(self.places) > STORE:
+            self._forget()
+        cut = [self._cut(t) for t in texts]
+        words = np.fromiter(map(self.places.__getitem__, chain.from_iterable(cut)), np.int64)
+        if self.places.new:
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(self.places.new, add_special_tokens=False)]
+            self.places.new = []
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))))
+            self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(sizes)))
+        begin = self.first[words]
+        size = self.first[words + 1] - begin
+        ends = np.cumsum(size)
+        out = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - size), size)]
+        upto = np.concatenate((np.zeros(1, np.int64), ends))[np.cumsum([0, *map(len, cut)])]
+        return out, np.diff(upto)
 
     def encode(self, texts: Sequence[str]) -> list[list[int]]:
-        if not self.cuttable:
-            return [list(x) for x in self._library(list(texts))]
-        cut = [t.encode().split() for t in texts]  # bytes: ASCII white space alone
-        if len(self.pieces) > STORE:
-            self.pieces.clear()
-        if len(self.parts) > STORE:
-            self.parts.clear()
-        new = [x for x in set(chain.from_iterable(cut)) if x not in self.pieces]
-        whole, parted = [], []
-        for x in new:
-            t = x.decode()
-            if _PLAIN.fullmatch(t) and not (self.specials and self.specials.search(t)):
-                parted.append((x, _PARTS.findall(t.lower())))
-            else:
-                whole.append((x, t))
-        missing = [p for p in set(chain.from_iterable(p for _, p in parted)) if p not in self.parts]
-        self.parts.update(zip(missing, self._library(missing), strict=True))
-        part = self.parts.__getitem__
-        self.pieces.update((x, tuple(chain.from_iterable(map(part, p)))) for x, p in parted)
-        self.pieces.update(zip((x for x, _ in whole), self._library([t for _, t in whole]), strict=True))
-        piece = self.pieces.__getitem__
-        return [list(chain.from_iterable(map(piece, c))) for c in cut]
+        ids, sizes = self.encode_flat(texts)
+        return [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] if len(sizes) else []
 
 
 @lru_cache(maxsize=4)
@@ -113,11 +131,11 @@ def write_token_files(docs: DataFrame, file: str, end_id: int, name: str = "toke
     def run(batches):
         codec, first = word_codec(file), 0
         for b in batches:
-            ids = codec.encode([t or "" for t in b.column(1).to_pylist()])
-            if not ids:
+            if not b.num_rows:
                 continue
-            lengths = [len(x) + 1 for x in ids]
-            flat = np.fromiter(chain.from_iterable(chain(x, (end_id,)) for x in ids), np.int64, sum(lengths))
+            ids, sizes = codec.encode_flat([t or "" for t in b.column(1).to_pylist()])
+            flat = np.insert(ids.astype(np.int64), np.cumsum(sizes), end_id)
+            lengths = (sizes + 1).tolist()
             yield pa.RecordBatch.from_arrays(
                 [pa.array([b.column(2)[0].as_py()], pa.int32()), pa.array([first], pa.int64()), pa.array([b.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([simple8b.encode(flat)], pa.binary())],
                 ROW.names,
