@@ -1,13 +1,16 @@
 """Toxicity by multiple-instance learning (operator 9).
 
 A document is a bag of sentences, and only the bag is labelled. A sentence's score is a logistic function of its words
-(hashed to FEATURES weights); the document's is their noisy-or, 1 minus the product of (1 - sentence score): toxic if
-any sentence is. The weights are trained from document labels by the gradient of the weighted log loss through the
-noisy-or, which sends a toxic label to the sentences that explain it; these are then located by their scores.
+and their first letters (hashed to FEATURES weights), 0 if none of its words has a weight; the document's is their noisy-or, 1 minus the product
+of (1 - sentence score): toxic if any sentence is. The weights are trained from document labels by the gradient of the
+weighted log loss through the noisy-or, which sends a toxic label to the sentences that explain it; these are then
+located by their scores. In training a leak, one more cause that every document has, takes the labels that no sentence
+explains; it is left out of scores, and a long text doesn't score for its length.
 
 The classifier is fitted on a bounded sample: at most SAMPLE labelled documents of either label, those with the least
-hash of their doc_id, weighted so that each label counts as it does among all labelled rows. What reaches the driver is
-their word numbers. Scoring reads every whole text, in place, with nothing shuffled.
+hash of their doc_id, copies of a text once, weighted so that each label counts as it does among all labelled rows.
+Tasks count in how many of these documents a feature is; only features that toxic ones hold well beyond chance are
+learned, and what reaches the driver are their numbers, sentence by sentence. Scoring reads every whole text, in place, with nothing shuffled.
 
 Defined results: a null text or one without letters has no sentence and scores 0; several labels of one doc_id count as
 toxic if one of them is; null labels and null doc_ids are not learned from; with no toxic or no other label, every
@@ -25,24 +28,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spalt.llm.common import with_text_columns
+from spalt.llm.common import arrow_batches, materialize, with_text_columns
 
-FEATURES = 1 << 18
+FEATURES = 1 << 22
 #: Labelled documents of either label that the classifier is fitted on, at most.
 SAMPLE = 6000
 #: Documents of the sample that a word must be in to have a weight.
 LEAST_DOCS = 5
 #: And deviations at least by which more of these documents must be toxic than their number alone would have.
 LEAST_Z = 5.0
+#: The features that are learned, at most: those of most deviations.
+MOST = 50_000
 STEPS, RATE, SHRINK = 160, 0.15, 2e-5
+#: A lesser weight is none.
+FAINT = 0.5
 CUT = 0.7
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?\n]")
 _SENTENCE = re.compile(r"[^.!?\n]*[^.!?\n\s][^.!?\n]*")
 _ENDS = ".!?\n"
 
 
-def number(word: str) -> int:
-    return zlib.crc32(word.encode()) % FEATURES
+def numbers(word: str) -> list[int]:
+    """A word's features: itself, and its first four and five letters."""
+    out = [zlib.crc32(word.encode()) % FEATURES]
+    for n in (4, 5):
+        if len(word) >= n:
+            out.append(zlib.crc32(f"^{word[:n]}".encode()) % FEATURES)
+    return out
 
 
 def sentences(text: str | None) -> list[list[str]]:
@@ -67,7 +79,7 @@ class _Weights(dict):
         if len(self) > 500_000:
             self.clear()
             self.update((e, np.nan) for e in _ENDS)
-        w = self[word] = float(self.weights[number(word)])
+        w = self[word] = float(self.weights[numbers(word)].sum())
         return w
 
 
@@ -84,48 +96,65 @@ class Model:
         if not len(sentence):
             return np.zeros(0)
         first = np.flatnonzero(np.concatenate((np.ones(1, bool), sentence[1:] != sentence[:-1])))
-        z = np.add.reduceat(v[~end], first) + self.bias
-        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+        v = v[~end]
+        z = np.add.reduceat(v, first) + self.bias
+        return np.where(np.logical_or.reduceat(v != 0, first), 1 / (1 + np.exp(-np.clip(z, -40, 40))), 0.0)
 
     def score(self, text: str | None, known: dict) -> tuple[float, np.ndarray]:
         s = self.sentence_scores(text, known)
         return float(-np.expm1(np.log1p(-np.minimum(s, 1 - 1e-12)).sum())) if len(s) else 0.0, s
 
 
-def fit(bags: list[tuple[list[int], list[int]]], labels: np.ndarray, weights: np.ndarray, steps: int = STEPS) -> Model:
-    """bags: (word numbers, words in each sentence) of each document; weights: of the documents."""
+def fit(bags: list[list[list[int]]], labels: np.ndarray, weights: np.ndarray, steps: int = STEPS) -> Model:
+    """bags: of each document the features of its sentences that have any; weights: of the documents."""
     nothing = Model(np.zeros(FEATURES, np.float32), -60.0)
-    bag = [i for i, (w, _) in enumerate(bags) if len(w)]
-    y, weight = labels[bag].astype(np.float64), weights[bag]
-    if not len(bag) or y.min() == y.max():
+    y, n_docs = labels.astype(np.float64), len(bags)
+    sizes = [len(s) for b in bags for s in b]
+    if not sizes or y.min() == y.max():
         return nothing
-    word = np.concatenate([bags[i][0] for i in bag]).astype(np.int64)
-    per_sentence = np.concatenate([bags[i][1] for i in bag]).astype(np.int64)
-    sentence = np.repeat(np.arange(len(per_sentence)), per_sentence)
-    doc = np.repeat(np.arange(len(bag)), [len(bags[i][1]) for i in bag])
-    pairs = np.unique(word * len(bag) + doc[sentence])
-    in_docs = np.bincount(pairs // len(bag), minlength=FEATURES)
-    in_toxic = np.bincount(pairs // len(bag), y[pairs % len(bag)], FEATURES)
-    share = y.mean()
-    used, word = np.unique(word, return_inverse=True)
-    z = (in_toxic - in_docs * share)[used] / np.sqrt(np.maximum(in_docs[used], 1) * share * (1 - share))
-    live = (in_docs[used] >= LEAST_DOCS) & (z >= LEAST_Z)
-    word, sentence = word[live[word]], sentence[live[word]]
-    w, bias, n = np.zeros(len(used)), -6.0, weight.sum()
-    m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
+    used, word = np.unique(np.array([f for b in bags for s in b for f in s], np.int64), return_inverse=True)
+    sentence = np.repeat(np.arange(len(sizes)), sizes)
+    doc = np.repeat(np.arange(n_docs), [len(b) for b in bags])
+    w, total = np.zeros(len(used)), weights.sum()
+    own = np.array([-2.0, -3.0])  # of every sentence; of the leak
+    m, v = np.zeros(len(used) + 2), np.zeros(len(used) + 2)
     for step in range(1, steps + 1):
-        z = np.clip(np.bincount(sentence, w[word], len(per_sentence)) + bias, -30, 30)
-        s = 1 / (1 + np.exp(-z))
-        rest = np.bincount(doc, -np.logaddexp(0, z), len(bag))  # log of the chance that no sentence is toxic
+        z = np.clip(np.bincount(sentence, w[word], len(sizes)) + own[0], -30, 30)
+        s, leak = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-own[1]))
+        rest = np.log1p(-leak) - np.bincount(doc, np.logaddexp(0, z), n_docs)  # log of the chance that there is no cause
         p = np.maximum(-np.expm1(rest), 1e-9)
-        g = (np.where(y > 0, -(1 - p) / p, 1.0) * weight)[doc] * s / n  # of the loss, by each sentence's sum
-        grad = np.append(np.bincount(word, g[sentence], len(used)) + SHRINK * np.sign(w), g.sum())
+        blame = np.where(y > 0, -(1 - p) / p, 1.0) * weights / total
+        g = blame[doc] * s  # of the loss, by each sentence's sum
+        grad = np.concatenate((np.bincount(word, g[sentence], len(used)) + SHRINK * np.sign(w), [g.sum(), leak * blame.sum()]))
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-        w, bias = w - move[:-1], bias - move[-1]
+        w, own = w - move[:-2], own - move[-2:]
     out = np.zeros(FEATURES, np.float32)
-    out[used[live]] = w[live]
-    return Model(out, float(bias))
+    out[used] = np.where(np.abs(w) >= FAINT, w, 0)
+    return Model(out, float(own[0]))
+
+
+def select(sample: DataFrame) -> np.ndarray:
+    """Features of the sample's texts that toxic ones hold beyond chance, in order."""
+    totals = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    n = sum(totals.values())
+    share = totals.get(1, 0) / max(1, n)
+    if not 0 < share < 1:
+        return np.zeros(0, np.int64)
+
+    def run(batches):
+        counts = np.zeros((2, FEATURES), np.int32)
+        for b in batches:
+            for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                here = np.array(list({f for w in {w for s in sentences(text) for w in s} for f in numbers(w)}), np.int64)
+                counts[y, here] += 1
+        some = np.flatnonzero(counts.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[:, some].sum(axis=0, dtype=np.int64)), pa.array(counts[1, some].astype(np.int64))], ["feature", "n", "toxic"])
+
+    rows = sample.select("text", "toxic").mapInArrow(run, "feature long, n long, toxic long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+    z = (F.col("toxic") - F.col("n") * share) / F.sqrt(F.col("n") * (share * (1 - share)))
+    picked = rows.where(F.col("n") >= LEAST_DOCS).withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "feature").limit(MOST)
+    return np.array(sorted(r["feature"] for r in picked.select("feature").collect()), np.int64)
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE) -> Model:
@@ -137,27 +166,29 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPL
     for y in (0, 1):
         part = labelled.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         picked = part if picked is None else picked.unionByName(part)
+    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")  # 2 * sample rows at most
+    found = materialize(found.select("toxic", "text", F.xxhash64("text").alias("h")).dropDuplicates(["toxic", "h"]).select("text", "toxic"), "labelled")
+    arrow_batches(docs.sparkSession)
+    features = select(found)
 
     def make():
+        known = set(features.tolist())
+
         def compute(texts: list) -> list:
-            cut = [sentences(t) for t in texts]
-            return [[[number(w) for s in c for w in s] for c in cut], [[len(s) for s in c] for c in cut]]
+            bags = []
+            for t in texts:
+                bag = [[f for w in s for f in numbers(w) if f in known] for s in sentences(t)]
+                bags.append([s for s in bag if s])
+            return [bags]
 
         return compute
 
-    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # 2 * sample rows at most
-    numbers = T.ArrayType(T.IntegerType())
-    table = with_text_columns(found, [T.StructField("words", numbers), T.StructField("sizes", numbers)], make, keep=["toxic"]).toArrow()
-    y, seen, bags, own = table["toxic"].to_numpy(), set(), [], []
-    for i, (a, b) in enumerate(zip(table["words"], table["sizes"], strict=True)):
-        if (key := (y[i], a.values.to_numpy().tobytes())) not in seen:  # copies of a text say no more than one
-            seen.add(key)
-            bags.append((a.values.to_numpy(), b.values.to_numpy()))
-            own.append(i)
-    y = y[own]
-    share = np.bincount(y, minlength=2) if len(y) else np.zeros(2)
+    kind = T.ArrayType(T.ArrayType(T.IntegerType()))
+    table = with_text_columns(found, [T.StructField("bag", kind)], make, keep=["toxic"]).toArrow()
+    y, bags = table["toxic"].to_numpy(), table["bag"].to_pylist()
+    share = np.bincount(y, minlength=2)
     weight = np.array([totals.get(k, 0) / max(1, share[k]) for k in (0, 1)])
-    return fit(bags, y, weight[y] if len(y) else np.zeros(0))
+    return fit(bags, y, weight[y])
 
 
 def score(docs: DataFrame, model: Model, offending: float = 0.5, keep: list[str] | None = None) -> DataFrame:

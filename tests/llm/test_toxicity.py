@@ -27,14 +27,14 @@ def corpus(n=600, seed=4):
 
 def test_gradient_is_that_of_the_noisy_or():
     texts, labels = corpus(200)
-    bags = [([toxicity.number(w) for s in toxicity.sentences(t) for w in s], [len(s) for s in toxicity.sentences(t)]) for t in texts]
-    bags = [(np.array(a), np.array(b)) for a, b in bags]
+    bags = [[[f for w in s for f in toxicity.numbers(w)] for s in toxicity.sentences(t)] for t in texts]
     model = toxicity.fit(bags, np.array(labels), np.ones(len(labels)))
     known = toxicity._Weights(model.weights)
     for t in texts[:20]:
         p, s = model.score(t, known)
-        z = [sum(float(model.weights[toxicity.number(w)]) for w in x) + model.bias for x in toxicity.sentences(t)]
-        assert np.allclose(s, 1 / (1 + np.exp(-np.array(z)))) and np.isclose(p, 1 - np.prod(1 - s))
+        z = np.array([sum(float(model.weights[toxicity.numbers(w)].sum()) for w in x) + model.bias for x in toxicity.sentences(t)])
+        some = [any(model.weights[toxicity.numbers(w)].sum() for w in x) for x in toxicity.sentences(t)]
+        assert np.allclose(s, np.where(some, 1 / (1 + np.exp(-z)), 0)) and np.isclose(p, 1 - np.prod(1 - s))
     scores = np.array([model.score(t, known)[0] for t in texts])
     assert (scores >= 0.7).astype(int).tolist() == labels
 
