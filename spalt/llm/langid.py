@@ -33,7 +33,7 @@ from spalt.llm.common import arrow_batches, materialize, with_text_columns
 
 ORDER = 5
 BITS = 12
-CELLS = 20_000_000
+CELLS = 8_000_000
 CALIBRATE = 16
 DEVIATIONS = 6.0
 TEMPERATURES = tuple(0.01 * 1.5**k for k in range(16))

@@ -180,7 +180,7 @@ def length_histogram(docs: DataFrame, file: str, pattern: str) -> DataFrame:
         return compute
 
     lengths = with_text_columns(docs.select("text"), [T.StructField("n_tokens", T.LongType())], make, keep=[])
-    return lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
+    return materialize(lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs")), "lengths")  # read more than once
 
 
 def suffix_sums(histogram: DataFrame, span: int = 1024) -> DataFrame:

@@ -102,7 +102,7 @@ class Model:
 
     def score(self, text: str | None, known: dict) -> tuple[float, np.ndarray]:
         s = self.sentence_scores(text, known)
-        return float(-np.expm1(np.log1p(-np.minimum(s, 1 - 1e-12)).sum())) if len(s) else 0.0, s
+        return max(0.0, float(-np.expm1(np.log1p(-np.minimum(s, 1 - 1e-12)).sum()))), s
 
 
 def fit(bags: list[list[list[int]]], labels: np.ndarray, weights: np.ndarray, steps: int = STEPS) -> Model:
