@@ -21,6 +21,8 @@ empty result. Other columns of the input stay out of the way: results carry doc_
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -32,6 +34,8 @@ from spalt.llm.common import fresh, materialize, with_text_columns
 SEED = 42
 #: Fingerprints with one segment value that are still compared pair by pair; beyond it, the exact way by shared words.
 BUCKET = 64
+#: Odd factors that make several hashes of one.
+_SPREAD = np.array([1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93], np.uint64)
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -153,8 +157,114 @@ def near_groups(docs: DataFrame, words: int = 3, distance: int = 2, bucket: int
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 5, distance: int = 2) -> DataFrame:
-    """docs with one row of each component, that of its least doc_id; rows that share this doc_id with it stay too."""
-    groups = near_groups(docs, words, distance)
+WORDS, PROBED = 4, 3
+
+
+def similar_budget(similarity: float) -> int:
+    """Bits of a wide fingerprint in which texts of this share of common shingles differ, and two deviations more."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    n = 64 * WORDS
+    return math.floor(n * share + 2 * math.sqrt(n * share * (1 - share)))
+
+
+def wide_fingerprint(text: str | None, words: int = 5) -> tuple[list[int], list[int]]:
+    """(WORDS fingerprints of 64 bits, keys to look up beside its own).
+
+    The keys are segments with some of their PROBED least decided bits changed, those that an edit changes first.
+    """
+    import xxhash
+
+    tokens = (text or "").encode().lower().split()
+    n = max(1, len(tokens) - words + 1) if tokens else 0
+    base = np.array([xxhash.xxh64_intdigest(b" ".join(tokens[i : i + words]), SEED) for i in range(n)], np.uint64)
+    counts = np.zeros(64 * WORDS, np.int64)
+    for i in range(0, n, 1 << 14):
+        h = base[i : i + (1 << 14), None] * _SPREAD
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+        counts += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(len(h), -1), axis=1).sum(axis=0, dtype=np.int64)
+    counts = counts.reshape(WORDS, 64)[:, ::-1]  # in the order of bits, the least first
+    bits, margin = 2 * counts > n, np.abs(2 * counts - n)
+    values = (bits.astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+    keys = []
+    for w in range(WORDS):
+        for s, (first, size) in enumerate(segments(3)):
+            own = (int(values[w]) >> first & (1 << size) - 1) | (3 * w + s) << 22
+            weak = np.argsort(margin[w, first : first + size], kind="stable")[:PROBED].tolist()
+            for chosen in range(1, 1 << PROBED):
+                keys.append(own ^ sum(1 << b for j, b in enumerate(weak) if chosen >> j & 1))
+    return values.view(np.int64).tolist(), keys
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) of texts whose wide fingerprints are as near as those of such similar shingles are.
+
+    Fingerprints of 256 bits form a ring of twelve segments. Candidates have a segment in common, equal or up to the
+    bits that are least decided in one of them, and stay within the proportional budgets in every chain of consecutive
+    segments from it; then all bits are compared. First each fingerprint meets the least one of each of its segment
+    values, and what these links join is one component; then only fingerprints of different components meet, so that
+    a large group of near copies is joined through its least members and never paired off, and no candidate is left out.
+    """
+    budget = similar_budget(similarity)
+    parts = [(w, p) for w in range(WORDS) for p in segments(3)]
+    cols = [f"f{w}" for w in range(WORDS)]
+
+    def make():
+        def compute(texts: list) -> list:
+            made = [wide_fingerprint(t, words) for t in texts]
+            return [*(pa.array([m[0][w] for m in made], pa.int64()) for w in range(WORDS)), [m[1] for m in made]]
+
+        return compute
+
+    fields = [*(T.StructField(c, T.LongType()) for c in cols), T.StructField("probes", T.ArrayType(T.IntegerType()))]
+    prints = with_text_columns(docs.select("doc_id", "text"), fields, make, keep=["doc_id"])
+    prints = materialize(prints.withColumn("node", F.xxhash64(*cols)), "prints")
+    nodes = materialize(prints.groupBy("node", *cols).agg(F.min("doc_id").alias("least"), F.min("probes").alias("probes")), "nodes")
+    own = F.array(*(F.shiftrightunsigned(F.col(f"f{w}").bitwiseAND(F.lit(mask(*p))), p[0]).cast("int").bitwiseOR(F.lit(i << 22)) for i, (w, p) in enumerate(parts)))
+    base = nodes.select("node", F.explode(own).alias("key"))
+    heads = materialize(base.groupBy("key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")), "heads")
+    looked = nodes.select("node", F.explode(F.concat(own, "probes")).alias("key"))
+    hits = materialize(looked.join(heads.hint("merge"), "key").where("n > 1 OR head <> node"), "hits")
+    prints_of = nodes.select("node", *cols)
+
+    def near(pairs: DataFrame) -> DataFrame:
+        """(a, b) of pairs (a, b, seg) that pass the filter and the full check."""
+        for side in "ab":
+            fp = prints_of.select(F.col("node").alias(side), *(F.col(c).alias(f"{side}{c}") for c in cols))
+            pairs = pairs.join(fp.hint("merge"), side)
+        apart = [F.bit_count(F.col(f"af{w}").bitwiseXOR(F.col(f"bf{w}")).bitwiseAND(F.lit(mask(*p)))) for w, p in parts]
+        total = sum((F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in cols), F.lit(0))
+        ring = pairs.where(total <= budget).select("a", "b", "seg", F.array(*apart, *apart).alias("d"))
+        m = len(parts)
+        chained = F.expr(f"aggregate(sequence(1, {m}), named_struct('s', 0, 'ok', true), (x, l) -> named_struct('s', x.s + element_at(d, seg + l), 'ok', x.ok AND x.s + element_at(d, seg + l) <= floor(l * {budget} / {m})), x -> x.ok)")
+        return ring.where(chained).select("a", "b").distinct()
+
+    seg = F.shiftright("key", 22).alias("seg")
+    first = materialize(near(hits.where("head <> node").select(F.col("node").alias("a"), F.col("head").alias("b"), seg).distinct()), "first")
+    part_of = components(first)
+    part_of = materialize(nodes.select("node").join(part_of.hint("merge"), "node", "left").select("node", F.coalesce("root", "node").alias("part")), "parts")
+
+    shared = heads.where("n > 1").join(part_of.select(F.col("node").alias("head"), F.col("part").alias("main")).hint("merge"), "head").select("key", "main")
+    shared = materialize(shared, "shared")
+    there = materialize(base.join(shared.hint("merge"), "key").join(part_of.hint("merge"), "node").select("key", "main", F.col("node").alias("b"), F.col("part").alias("b_part")), "there")
+    asking = materialize(hits.where("n > 1").select("key", "node").join(shared.hint("merge"), "key").join(part_of.hint("merge"), "node").select("key", "main", F.col("node").alias("a"), F.col("part").alias("a_part")), "asking")
+    others = there.where("b_part <> main").select("key", "b", "b_part")  # the main component never meets itself
+    across = asking.where("a_part = main").join(others.hint("merge"), "key").unionByName(asking.where("a_part <> main").join(there.select("key", "b", "b_part").hint("merge"), "key"))
+    second = near(across.where("a_part <> b_part").select("a", "b", seg).distinct())
+    roots = components(first.unionByName(second))
+    named = nodes.join(roots.hint("merge"), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    named = materialize(named, "roots")
+    least = materialize(named.groupBy("root").agg(F.min("least").alias("component_id")), "components")
+    named = materialize(named.join(least.hint("merge"), "root").select("node", "component_id"), "named")
+    return prints.select("doc_id", "node").join(named.hint("merge"), "node").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one document of each group of similar_groups(), that of the least doc_id.
+
+    A doc_id on several rows goes if one of them is like a document of a lesser doc_id, and else stays on all.
+    """
+    groups = similar_groups(docs, words, similarity)
     out = materialize(groups.where("doc_id <> component_id OR (doc_id IS NULL AND component_id IS NOT NULL)").select(F.col("doc_id").alias(key := fresh("out_id", docs))), "copies")
-    return docs.join(out, F.col("doc_id").eqNullSafe(F.col(key)), "left_anti")
+    return docs.join(out.hint("merge"), F.col("doc_id").eqNullSafe(F.col(key)), "left_anti")

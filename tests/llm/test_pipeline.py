@@ -5,7 +5,7 @@ import corpus_pipeline
 from spalt.llm import decontam, simhash
 from spalt.llm.quality import RULES, Features
 from tests.llm.test_linededup import brute as cut_lines
-from tests.llm.test_simhash import brute_components, brute_print
+from tests.llm.test_simhash import brute_similar
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -14,7 +14,7 @@ def expected(rows, items):
     """The five stages by brute force: (doc_id, text) -> (doc_id, text)."""
     rows = [(d, t) for d, t in rows if not any(r.rejects(Features(t)) for r in RULES)]
     rows = [(d, t) for d, t, _, _ in cut_lines(rows)]
-    groups = brute_components({d: brute_print(t, 5) for d, t in rows})
+    groups = brute_similar(dict(rows), simhash.similar_budget(0.8))
     rows = [(d, t) for d, t in rows if groups[d] == d]
     items = [decontam.words(x) for x in items]
     counts = {}
@@ -62,4 +62,3 @@ def test_stages_on_odd_tables(spark, small, documents):
             assert docs.columns[: len(before.columns)] == before.columns, name
             if i < 4:
                 assert docs.columns == before.columns and docs.dtypes == before.dtypes
-    assert [n for n, _ in corpus_pipeline.STAGES] and simhash.BUCKET

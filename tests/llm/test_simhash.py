@@ -79,9 +79,61 @@ def test_groups_and_copies(documents):
     assert got == sorted((ids[i], least[root]) for i, root in true.items())
 
 
+def brute_similar(texts, budget):
+    """{doc_id: text} -> least doc_id reached, comparing every two fingerprints segment by segment."""
+    parts = [(w, p) for w in range(simhash.WORDS) for p in simhash.segments(3)]
+    prints = {d: simhash.wide_fingerprint(t) for d, t in texts.items()}
+    values = {d: [v & (1 << 64) - 1 for v in p[0]] for d, p in prints.items()}
+    own = {d: [(v[w] >> a & (1 << n) - 1) | i << 22 for i, (w, (a, n)) in enumerate(parts)] for d, v in values.items()}
+    look = {d: {*own[d], *prints[d][1]} for d in texts}
+    root = {d: d for d in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(texts)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            d = [((values[a][w] ^ values[b][w]) >> p & (1 << n) - 1).bit_count() for w, (p, n) in parts]
+            if sum(d) > budget:
+                continue
+            for k in range(12):
+                met = own[a][k] in look[b] or own[b][k] in look[a]
+                if met and all(sum((d + d)[k : k + m]) <= m * budget // 12 for m in range(1, 13)):
+                    x, y = sorted((find(a), find(b)))
+                    root[y] = x
+                    break
+    return {d: find(d) for d in ids}
+
+
+def edited(words, n, rng):
+    words = list(words)
+    for _ in range(n):
+        words[rng.randrange(len(words))] = f"new{rng.randrange(10**6)}"
+    return " ".join(words)
+
+
+def test_similar_groups_match_brute_force_and_find_near_copies(documents):
+    rng = random.Random(5)
+    texts, family = [], []
+    for f in range(12):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(120, 400))]
+        for k in range(8):
+            texts.append(edited(words, rng.randrange(len(words) // 60 + 1) if k else 0, rng))
+            family.append(f)
+    texts += ["", None, "one", "one two three four five", LONG[:3000]]
+    family += [100, 100, 101, 102, 103]
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(documents(texts)).collect()}
+    assert got == brute_similar(dict(enumerate(texts)), simhash.similar_budget(0.8))
+    first = {f: family.index(f) for f in family}
+    assert [got[i] for i in range(len(texts))] == [first[f] for f in family]
+
+
 def test_one_stays_of_each_group(documents):
     text = " ".join(f"w{i}" for i in range(300))
-    docs = documents([text, text, "another text with other words in it", None, ""], [4, 2, 3, 1, None]).selectExpr("*", "1 AS fp", "2 AS component_id")
+    docs = documents([text, text, "another text with other words in it", None, ""], [4, 2, 3, 1, None]).selectExpr("*", "1 AS fp", "2 AS component_id", "3 AS f0", "4 AS node")
     out = simhash.keep_one(docs)
     assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [1, 2, 3]
     assert simhash.keep_one(docs.limit(0)).count() == 0
