@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spalt.errors import ConstraintError
 from spalt.functions import composites as C
 from spalt.functions import scalars as S
 from spalt.functions import values as V
@@ -384,6 +385,20 @@ def all_corr(spark, d):
     return Q.with_quantified(t(spark, d, "orders", "o_orderkey", "o_totalprice"), "v", "o_totalprice", ">", "ALL", li, "l_extendedprice", {"o_orderkey": "l_orderkey"}).select("o_orderkey", "v")
 
 
+@query("SELECT c_custkey, count(o_orderkey) > 0 AND coalesce(bool_or(100 * c_acctbal > o_totalprice), FALSE) AS v FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
+def any_corr(spark, d):
+    o = t(spark, d, "orders", "o_custkey", "o_totalprice")
+    c = t(spark, d, "customer", "c_custkey", "c_acctbal").withColumn("x", 100 * F.col("c_acctbal"))
+    return Q.with_quantified(c, "v", "x", ">", "ANY", o, "o_totalprice", {"c_custkey": "o_custkey"}).select("c_custkey", "v")
+
+
+@query("SELECT s_suppkey, s_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9000 AND c_custkey % 100 = s_suppkey % 100) AS v FROM supplier")
+def sub_in_corr(spark, d):
+    c = t(spark, d, "customer", "c_custkey", "c_nationkey", "c_acctbal").where("c_acctbal > 9000").withColumn("k", F.col("c_custkey") % 100)
+    s = t(spark, d, "supplier", "s_suppkey", "s_nationkey").withColumn("k0", F.col("s_suppkey") % 100)
+    return Q.with_in(s, "v", "s_nationkey", c, "c_nationkey", {"k0": "k"}).select("s_suppkey", "v")
+
+
 @query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND EXISTS (SELECT 1 FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_orderkey = o_orderkey AND s_nationkey = c_nationkey))")
 def nested_corr(spark, d):
     # the innermost reference to customer becomes a join key of the distinct (customer key, nation) that orders can reach
@@ -402,6 +417,14 @@ def enum_order(spark, d):
     return R.order(A.aggregate(o, ["e"], {"n": A.count_all()}), "e").select(C.enum_label(F.col("e")).alias("label"), "n", F.col("e.ord").alias("ord"))
 
 
+@query("""SELECT o_custkey, list_extract(['5-LOW', '4-NOT SPECIFIED', '3-MEDIUM', '2-HIGH', '1-URGENT'], min(6 - CAST(left(o_orderpriority, 1) AS INT))) AS lo,
+    list_extract(['5-LOW', '4-NOT SPECIFIED', '3-MEDIUM', '2-HIGH', '1-URGENT'], max(6 - CAST(left(o_orderpriority, 1) AS INT))) AS hi FROM orders GROUP BY o_custkey""")
+def enum_min_max(spark, d):
+    labels = ["5-LOW", "4-NOT SPECIFIED", "3-MEDIUM", "2-HIGH", "1-URGENT"]
+    o = t(spark, d, "orders", "o_custkey", "o_orderpriority").withColumn("e", C.enum(F.col("o_orderpriority"), labels))
+    return A.aggregate(o, ["o_custkey"], {"lo": C.enum_label(F.min("e")), "hi": C.enum_label(F.max("e"))})
+
+
 @query("SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY c_nationkey, c_mktsegment")
 def list_group(spark, d):
     x = C.list_of(F.col("c_nationkey").cast("string"), F.col("c_mktsegment")).alias("x")
@@ -481,6 +504,27 @@ def domain_check(spark, d):
     return declared(Rule("p_partkey", "bigint", unique=True), rule).validate(t(spark, d, "part", "p_partkey", "p_size"))
 
 
+@query("SELECT s_suppkey, s_acctbal AS before, s_acctbal + 10 AS after FROM supplier WHERE s_nationkey < 5")
+def dml_snapshot(spark, d):
+    """The state that was kept before an update still has the old values."""
+    before = t(spark, d, "supplier", "s_suppkey", "s_nationkey", "s_acctbal")
+    table = declared(Rule("s_suppkey", "bigint", unique=True), Rule("s_nationkey", "int"), Rule("s_acctbal", "double"))
+    after = table.update(before, [("s_acctbal", F.col("s_acctbal") + 10)], F.col("s_nationkey") < 5)
+    changed = J.inner(before.alias("b"), after.alias("a"), F.col("a.s_suppkey") == F.col("b.s_suppkey")).where("a.s_acctbal <> b.s_acctbal")
+    return changed.select("b.s_suppkey", F.col("b.s_acctbal").alias("before"), F.col("a.s_acctbal").alias("after"))
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL VALUES (100, 'ATLANTIS', 0)")
+def dml_savepoint(spark, d):
+    """A statement that breaks a rule after a savepoint leaves the state of the savepoint."""
+    table = _nations()
+    savepoint = table.insert(t(spark, d, "nation"), ["n_nationkey", "n_name"], [(100, "ATLANTIS")])
+    try:
+        return table.update(savepoint, [("n_nationkey", F.lit(7))])
+    except ConstraintError:
+        return savepoint
+
+
 # Results as text
 
 
