@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 #: Rows in an Arrow batch that goes to a Python worker; texts of some hundred KB still make a moderate batch.
-BATCH_ROWS = 1000
-BATCH_BYTES = "16m"
+BATCH_ROWS = 300
+BATCH_BYTES = "6m"
 
 
 def arrow_batches(spark: SparkSession) -> None:

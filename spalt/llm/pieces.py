@@ -30,7 +30,7 @@ from spalt.llm.common import with_text_columns
 
 MARK = "▁"
 #: Cuts whose ids a worker remembers; beyond it, it starts anew.
-STORE = 400_000
+STORE = 150_000
 
 
 class CharMap:
