@@ -221,37 +221,51 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     prints = with_text_columns(docs.select("doc_id", "text"), fields, make, keep=["doc_id"])
     prints = materialize(prints.withColumn("node", F.xxhash64(*cols)), "prints")
     nodes = materialize(prints.groupBy("node", *cols).agg(F.min("doc_id").alias("least"), F.min("probes").alias("probes")), "nodes")
-    own = F.array(*(F.shiftrightunsigned(F.col(f"f{w}").bitwiseAND(F.lit(mask(*p))), p[0]).cast("int").bitwiseOR(F.lit(i << 22)) for i, (w, p) in enumerate(parts)))
-    base = nodes.select("node", F.explode(own).alias("key"))
-    heads = materialize(base.groupBy("key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")), "heads")
-    looked = nodes.select("node", F.explode(F.concat(own, "probes")).alias("key"))
-    hits = materialize(looked.join(heads.hint("merge"), "key").where("n > 1 OR head <> node"), "hits")
-    prints_of = nodes.select("node", *cols)
+    m, full = len(parts), nodes
+    values = [F.shiftrightunsigned(F.col(f"f{w}").bitwiseAND(F.lit(mask(*p))), p[0]) for w, p in parts]
+    nodes = nodes.withColumn("own", F.array(*(v.cast("int").bitwiseOR(F.lit(i << 22)) for i, v in enumerate(values))))
+    nodes = nodes.withColumn("ahead", F.array(*(F.shiftleft(values[(i + 1) % m], 22).bitwiseOR(values[(i + 2) % m]) for i in range(m))))
+    seg = F.shiftright("key", 22)
+    base = nodes.select("node", "ahead", F.explode("own").alias("key")).select("node", "key", F.get("ahead", seg).alias("ahead"))
+    looked = nodes.select("node", "own", "ahead", F.explode(F.concat("own", "probes")).alias("key"))
+    looked = looked.select("node", "key", F.get("ahead", seg).alias("ahead"), F.bit_count(F.get("own", seg).bitwiseXOR(F.col("key"))).alias("bits"))
+
+    def begins(x: str, y: str) -> Column:
+        """The chain's first three segments stay within their budgets: the one in common and the two ahead."""
+        apart = F.col(x).bitwiseXOR(F.col(y))
+        return (F.col("bits") + F.bit_count(F.shiftrightunsigned(apart, 22)) <= 2 * budget // m) & (F.col("bits") + F.bit_count(apart) <= 3 * budget // m)
+
+    heads = materialize(base.groupBy("key").agg(F.min("node").alias("head"), F.min_by("ahead", "node").alias("head_ahead"), F.count(F.lit(1)).alias("n")), "heads")
+    met = (F.col("head") != F.col("node")) & begins("ahead", "head_ahead")
+    hits = materialize(looked.join(heads.hint("merge"), "key").where((F.col("n") > 1) | met).withColumn("met", met), "hits")
+    prints_of = full.select("node", *cols)
 
     def near(pairs: DataFrame) -> DataFrame:
-        """(a, b) of pairs (a, b, seg) that pass the filter and the full check."""
+        """(a, b) of candidates (a, b, key) that pass the filter and the full check; each pair is looked at once."""
+        pairs = pairs.groupBy("a", "b").agg(F.collect_set(seg).alias("segs"))
         for side in "ab":
             fp = prints_of.select(F.col("node").alias(side), *(F.col(c).alias(f"{side}{c}") for c in cols))
             pairs = pairs.join(fp.hint("merge"), side)
         apart = [F.bit_count(F.col(f"af{w}").bitwiseXOR(F.col(f"bf{w}")).bitwiseAND(F.lit(mask(*p)))) for w, p in parts]
         total = sum((F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in cols), F.lit(0))
-        ring = pairs.where(total <= budget).select("a", "b", "seg", F.array(*apart, *apart).alias("d"))
-        m = len(parts)
-        chained = F.expr(f"aggregate(sequence(1, {m}), named_struct('s', 0, 'ok', true), (x, l) -> named_struct('s', x.s + element_at(d, seg + l), 'ok', x.ok AND x.s + element_at(d, seg + l) <= floor(l * {budget} / {m})), x -> x.ok)")
-        return ring.where(chained).select("a", "b").distinct()
+        ring = pairs.where(total <= budget).select("a", "b", "segs", F.array(*apart, *apart).alias("d"))
+        step = "named_struct('s', x.s + element_at(d, seg + l), 'ok', x.ok AND x.s + element_at(d, seg + l) <= floor(l * {0} / {1}))".format(budget, m)
+        chained = F.expr(f"exists(segs, seg -> aggregate(sequence(1, {m}), named_struct('s', 0, 'ok', true), (x, l) -> {step}, x -> x.ok))")
+        return ring.where(chained).select("a", "b")
 
-    seg = F.shiftright("key", 22).alias("seg")
-    first = materialize(near(hits.where("head <> node").select(F.col("node").alias("a"), F.col("head").alias("b"), seg).distinct()), "first")
+    first = materialize(near(hits.where("met").select(F.col("node").alias("a"), F.col("head").alias("b"), "key")), "first")
     part_of = components(first)
     part_of = materialize(nodes.select("node").join(part_of.hint("merge"), "node", "left").select("node", F.coalesce("root", "node").alias("part")), "parts")
 
     shared = heads.where("n > 1").join(part_of.select(F.col("node").alias("head"), F.col("part").alias("main")).hint("merge"), "head").select("key", "main")
     shared = materialize(shared, "shared")
-    there = materialize(base.join(shared.hint("merge"), "key").join(part_of.hint("merge"), "node").select("key", "main", F.col("node").alias("b"), F.col("part").alias("b_part")), "there")
-    asking = materialize(hits.where("n > 1").select("key", "node").join(shared.hint("merge"), "key").join(part_of.hint("merge"), "node").select("key", "main", F.col("node").alias("a"), F.col("part").alias("a_part")), "asking")
-    others = there.where("b_part <> main").select("key", "b", "b_part")  # the main component never meets itself
-    across = asking.where("a_part = main").join(others.hint("merge"), "key").unionByName(asking.where("a_part <> main").join(there.select("key", "b", "b_part").hint("merge"), "key"))
-    second = near(across.where("a_part <> b_part").select("a", "b", seg).distinct())
+    there = materialize(base.join(shared.hint("merge"), "key").join(part_of.hint("merge"), "node").select("key", F.col("ahead").alias("b_ahead"), "main", F.col("node").alias("b"), F.col("part").alias("b_part")), "there")
+    asking = materialize(hits.where("n > 1").select("key", "node", "ahead", "bits").join(shared.hint("merge"), "key").join(part_of.hint("merge"), "node").select("key", "ahead", "bits", "main", F.col("node").alias("a"), F.col("part").alias("a_part")), "asking")
+    within = (F.col("a_part") != F.col("b_part")) & begins("ahead", "b_ahead")
+    there = there.drop("main")
+    others = there.join(shared.hint("merge"), "key").where("b_part <> main").drop("main")  # the main component never meets itself
+    across = asking.where("a_part = main").join(others.hint("merge"), "key").where(within).unionByName(asking.where("a_part <> main").join(there.hint("merge"), "key").where(within))
+    second = near(across.select("a", "b", "key"))
     roots = components(first.unionByName(second))
     named = nodes.join(roots.hint("merge"), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     named = materialize(named, "roots")
