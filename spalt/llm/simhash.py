@@ -197,12 +197,54 @@ def wide_fingerprint(text: str | None, words: int = 5) -> tuple[list[int], list[
     return values.view(np.int64).tolist(), keys
 
 
+def shingles(text: str | None, words: int = 5) -> np.ndarray:
+    """The distinct hashes of the text's shingles in order; a text of fewer words has one shingle, one without words none."""
+    import xxhash
+
+    tokens = (text or "").encode().lower().split()
+    n = max(1, len(tokens) - words + 1) if tokens else 0
+    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(tokens[i : i + words]), SEED) for i in range(n)], np.uint64).view(np.int64))
+
+
+def set_number(found: np.ndarray) -> int:
+    """A signed number that stands for a set of shingles."""
+    import xxhash
+
+    return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), SEED)).astype(np.int64))
+
+
+def alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float, words: int) -> DataFrame:
+    """(a, b) of the pairs of nodes whose sets of shingles have an exact Jaccard similarity of `similarity` or more.
+
+    nodes: (node, doc_id) where any row of doc_id in docs with that node's set will do. Sets are made again for the
+    texts that are in a pair, and are never stored for the others.
+    """
+    pairs = materialize(pairs, "candidates")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+    def make():
+        def compute(texts: list) -> list:
+            found = [shingles(t, words) for t in texts]
+            return [[set_number(x) for x in found], pa.array(found, pa.list_(pa.int64()))]
+
+        return compute
+
+    wanted = asked.join(nodes.hint("merge"), "node").select("doc_id").distinct().withColumnRenamed("doc_id", "wanted")
+    texts = docs.select("doc_id", "text").join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
+    sets = with_text_columns(texts, [T.StructField("node", T.LongType()), T.StructField("found", T.ArrayType(T.LongType()))], make, keep=[])
+    sets = materialize(sets.groupBy("node").agg(F.first("found").alias("found")), "sets")
+    for side in "ab":
+        pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("found").alias(f"{side}_found")).hint("merge"), side)
+    both = F.size(F.array_intersect("a_found", "b_found"))
+    return pairs.where(both * (1 + similarity) >= (F.size("a_found") + F.size("b_found")) * similarity - 1e-9).select("a", "b")
+
+
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, component_id) of texts whose wide fingerprints are as near as those of such similar shingles are.
+    """(doc_id, component_id) of texts whose sets of shingles are so similar (Jaccard), found by wide fingerprints.
 
     Fingerprints of 256 bits form a ring of twelve segments. Candidates have a segment in common, equal or up to the
     bits that are least decided in one of them, and stay within the proportional budgets in every chain of consecutive
-    segments from it; then all bits are compared. First each fingerprint meets the least one of each of its segment
+    segments from it; then all bits are compared, and a link holds only if the exact similarity is reached. First each fingerprint meets the least one of each of its segment
     values, and what these links join is one component; then only fingerprints of different components meet, so that
     a large group of near copies is joined through its least members and never paired off, and no candidate is left out.
     """
@@ -213,14 +255,14 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     def make():
         def compute(texts: list) -> list:
             made = [wide_fingerprint(t, words) for t in texts]
-            return [*(pa.array([m[0][w] for m in made], pa.int64()) for w in range(WORDS)), [m[1] for m in made]]
+            return [*(pa.array([m[0][w] for m in made], pa.int64()) for w in range(WORDS)), [m[1] for m in made], [set_number(shingles(t, words)) for t in texts]]
 
         return compute
 
-    fields = [*(T.StructField(c, T.LongType()) for c in cols), T.StructField("probes", T.ArrayType(T.IntegerType()))]
+    fields = [*(T.StructField(c, T.LongType()) for c in cols), T.StructField("probes", T.ArrayType(T.IntegerType())), T.StructField("node", T.LongType())]
     prints = with_text_columns(docs.select("doc_id", "text"), fields, make, keep=["doc_id"])
-    prints = materialize(prints.withColumn("node", F.xxhash64(*cols)), "prints")
-    nodes = materialize(prints.groupBy("node", *cols).agg(F.min("doc_id").alias("least"), F.min("probes").alias("probes")), "nodes")
+    prints = materialize(prints, "prints")
+    nodes = materialize(prints.groupBy("node").agg(*(F.min(c).alias(c) for c in cols), F.min("doc_id").alias("least"), F.min("probes").alias("probes")), "nodes")
     m, full = len(parts), nodes
     values = [F.shiftrightunsigned(F.col(f"f{w}").bitwiseAND(F.lit(mask(*p))), p[0]) for w, p in parts]
     nodes = nodes.withColumn("own", F.array(*(v.cast("int").bitwiseOR(F.lit(i << 22)) for i, v in enumerate(values))))
@@ -251,7 +293,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
         ring = pairs.where(total <= budget).select("a", "b", "segs", F.array(*apart, *apart).alias("d"))
         step = "named_struct('s', x.s + element_at(d, seg + l), 'ok', x.ok AND x.s + element_at(d, seg + l) <= floor(l * {0} / {1}))".format(budget, m)
         chained = F.expr(f"exists(segs, seg -> aggregate(sequence(1, {m}), named_struct('s', 0, 'ok', true), (x, l) -> {step}, x -> x.ok))")
-        return ring.where(chained).select("a", "b")
+        return alike(ring.where(chained).select("a", "b"), full.select("node", F.col("least").alias("doc_id")), docs, similarity, words)
 
     first = materialize(near(hits.where("met").select(F.col("node").alias("a"), F.col("head").alias("b"), "key")), "first")
     part_of = components(first)

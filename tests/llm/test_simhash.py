@@ -146,3 +146,21 @@ def test_query(spark, small):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
     prints = {d: brute_print(t) for d, t in texts.items()}
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in rows} == {d: (f"{prints[d]:016x}", c) for d, c in brute_components(prints).items()}
+
+
+def jaccard(a, b):
+    a, b = (set(simhash.shingles(t).tolist()) for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_texts_below_the_similarity_stay_apart(documents):
+    rng = random.Random(8)
+    texts = []
+    for _ in range(20):  # pairs of a similarity of about 0.7
+        words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        texts += [" ".join(words), " ".join([*words[:246], *(f"x{rng.randrange(10**6)}" for _ in range(54))])]
+    for _ in range(10):  # nothing in common but a phrase that each repeats
+        texts += [" ".join(["one phrase said once more"] * 10 + [f"w{rng.randrange(10**6)}" for _ in range(50)]) for _ in range(2)]
+    assert all(jaccard(*texts[i : i + 2]) < 0.75 for i in range(0, len(texts), 2))
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(documents(texts)).collect()}
+    assert got == {i: i for i in range(len(texts))}
