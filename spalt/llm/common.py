@@ -53,6 +53,21 @@ def fresh(name: str, *frames: DataFrame) -> str:
     return name
 
 
+def with_row_key(docs: DataFrame, name: str) -> DataFrame:
+    """docs and a struct column that no two rows share and that every plan gives to the same row: (doc_id, h, copy).
+
+    h is a hash of the text. Rows that agree in doc_id and h are written once with a number each, `copy`; all others
+    are known by the two, without a copy of the table. The key's order is that of doc_id, nulls first.
+    """
+    twin, own = fresh("twin", docs), F.struct(F.col("doc_id"), F.xxhash64("text").alias("h"))
+    twins = materialize(docs.select(own.alias(twin)).groupBy(twin).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(twin), "twins")
+    numbered = lambda rows, copy: rows.withColumn(name, F.struct(F.col("doc_id"), F.xxhash64("text").alias("h"), copy.alias("copy")))
+    if twins.isEmpty():
+        return numbered(docs, F.lit(0).cast("long"))
+    again = materialize(numbered(docs.join(twins, own == F.col(twin), "left_semi"), F.monotonically_increasing_id()), "again")
+    return numbered(docs.join(twins, own == F.col(twin), "left_anti"), F.lit(0).cast("long")).unionByName(again)
+
+
 def crc32_mod(key: Column, n: int) -> Column:
     """crc32 of the key as text, modulo n; null for a null key."""
     return F.crc32(key.cast("string")) % n

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spalt.llm.common import fresh, materialize, with_text_columns
+from spalt.llm.common import fresh, materialize, with_row_key, with_text_columns
 
 SEED = 42
 #: Fingerprints with one segment value that are still compared pair by pair; beyond it, the exact way by shared words.
@@ -168,7 +168,7 @@ def similar_budget(similarity: float) -> int:
 
 
 def wide_fingerprint(text: str | None, words: int = 5) -> tuple[list[int], list[int]]:
-    """(WORDS fingerprints of 64 bits, keys to look up beside its own).
+    """(WORDS fingerprints of 64 bits, keys to look up beside its own); an estimate of similarity, no verdict of similar_rows().
 
     The keys are segments with some of their PROBED least decided bits changed, those that an edit changes first.
     """
@@ -213,13 +213,45 @@ def set_number(found: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), SEED)).astype(np.int64))
 
 
+#: Texts of the sample that finds common shingles, and in how many of them a shingle must be.
+SAMPLE, COMMON = 8_000, 8
+#: Words of 64 bits of a bitmap.
+BITMAP = 4
+
+
+def bitmap(found: np.ndarray) -> np.ndarray:
+    """Whether an odd number of the set's hashes falls on each of the bits: two sets differ in as many hashes as bits, or more."""
+    odd = np.bincount((found.view(np.uint64) >> np.uint64(56)).astype(np.int64), minlength=64 * BITMAP) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def prefix(found: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The set's first hashes, of which sets of that similarity share one: those of few texts before common ones."""
+    if not len(found):
+        return found
+    keys, counts = common
+    rank = np.zeros(len(found), np.int64)
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
+        rank = np.where(keys[at] == found, counts[at], 0)
+    return found[np.lexsort((found, rank))[: len(found) - math.ceil(similarity * len(found) - 1e-9) + 1]]
+
+
+def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes in order, counts) of shingles that many texts of a sample hold. Results don't depend on it: any order of hashes is right."""
+    few = docs.select("text").sample(False, min(1.0, SAMPLE / max(1, docs.count())), SEED)
+    made = with_text_columns(few, [T.StructField("found", T.ArrayType(T.LongType()))], lambda: lambda texts: [pa.array([shingles(t, words) for t in texts], pa.list_(pa.int64()))], keep=[])
+    rows = made.select(F.explode("found").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON).orderBy("key").toArrow()
+    return rows["key"].to_numpy(), rows["n"].to_numpy()
+
+
 def alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float, words: int) -> DataFrame:
     """(a, b) of the pairs of nodes whose sets of shingles have an exact Jaccard similarity of `similarity` or more.
 
-    nodes: (node, doc_id) where any row of doc_id in docs with that node's set will do. Sets are made again for the
-    texts that are in a pair, and are never stored for the others.
+    nodes: (node, row), a row of docs with that node's set. Sets are made again for the texts that are in a pair, and
+    are never stored for the others.
     """
-    pairs = materialize(pairs, "candidates")
+    pairs = materialize(pairs.distinct(), "candidates")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
     def make():
@@ -229,98 +261,95 @@ def alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float
 
         return compute
 
-    wanted = asked.join(nodes.hint("merge"), "node").select("doc_id").distinct().withColumnRenamed("doc_id", "wanted")
-    texts = docs.select("doc_id", "text").join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
+    wanted = asked.join(nodes.hint("merge"), "node").select(F.col("row").alias("wanted"))
+    texts = docs.join(wanted.hint("merge"), F.col("row") == F.col("wanted"), "left_semi").select("text")
     sets = with_text_columns(texts, [T.StructField("node", T.LongType()), T.StructField("found", T.ArrayType(T.LongType()))], make, keep=[])
-    sets = materialize(sets.groupBy("node").agg(F.first("found").alias("found")), "sets")
+    sets = materialize(sets, "sets")
     for side in "ab":
         pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("found").alias(f"{side}_found")).hint("merge"), side)
     both = F.size(F.array_intersect("a_found", "b_found"))
     return pairs.where(both * (1 + similarity) >= (F.size("a_found") + F.size("b_found")) * similarity - 1e-9).select("a", "b")
 
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, component_id) of texts whose sets of shingles are so similar (Jaccard), found by wide fingerprints.
+def similar_rows(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(row, least): the key of each row, and of the first row of its group; docs (row, text), with row from with_row_key().
 
-    Fingerprints of 256 bits form a ring of twelve segments. Candidates have a segment in common, equal or up to the
-    bits that are least decided in one of them, and stay within the proportional budgets in every chain of consecutive
-    segments from it; then all bits are compared, and a link holds only if the exact similarity is reached. First each fingerprint meets the least one of each of its segment
-    values, and what these links join is one component; then only fingerprints of different components meet, so that
-    a large group of near copies is joined through its least members and never paired off, and no candidate is left out.
+    Groups are the components of all pairs whose sets of shingles have that Jaccard similarity or more. Sets in one
+    order of all hashes that are so similar have a hash in common among the first of each (prefix()), so no pair is
+    left out. Equal sets are one node. First each node meets the least one of each of its hashes, and what these links
+    join is one component; then only nodes of different components meet, so that a large group of near copies is joined
+    through its least members and never paired off. The sizes of two sets, the places of the hash and the sets' bitmaps
+    bound the similarity from above, so that few pairs are left whose sets must be compared.
     """
-    budget = similar_budget(similarity)
-    parts = [(w, p) for w in range(WORDS) for p in segments(3)]
-    cols = [f"f{w}" for w in range(WORDS)]
+    held = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, words))
+    bits = [f"b{i}" for i in range(BITMAP)]
 
     def make():
+        common = held.value
+
         def compute(texts: list) -> list:
-            made = [wide_fingerprint(t, words) for t in texts]
-            return [*(pa.array([m[0][w] for m in made], pa.int64()) for w in range(WORDS)), [m[1] for m in made], [set_number(shingles(t, words)) for t in texts]]
+            found = [shingles(t, words) for t in texts]
+            maps = np.array([bitmap(x) for x in found]).reshape(-1, BITMAP)
+            return [[set_number(x) for x in found], [len(x) for x in found], *(pa.array(maps[:, i]) for i in range(BITMAP)), pa.array([prefix(x, similarity, common) for x in found], pa.list_(pa.int64()))]
 
         return compute
 
-    fields = [*(T.StructField(c, T.LongType()) for c in cols), T.StructField("probes", T.ArrayType(T.IntegerType())), T.StructField("node", T.LongType())]
-    prints = with_text_columns(docs.select("doc_id", "text"), fields, make, keep=["doc_id"])
-    prints = materialize(prints, "prints")
-    nodes = materialize(prints.groupBy("node").agg(*(F.min(c).alias(c) for c in cols), F.min("doc_id").alias("least"), F.min("probes").alias("probes")), "nodes")
-    m, full = len(parts), nodes
-    values = [F.shiftrightunsigned(F.col(f"f{w}").bitwiseAND(F.lit(mask(*p))), p[0]) for w, p in parts]
-    nodes = nodes.withColumn("own", F.array(*(v.cast("int").bitwiseOR(F.lit(i << 22)) for i, v in enumerate(values))))
-    nodes = nodes.withColumn("ahead", F.array(*(F.shiftleft(values[(i + 1) % m], 22).bitwiseOR(values[(i + 2) % m]) for i in range(m))))
-    seg = F.shiftright("key", 22)
-    base = nodes.select("node", "ahead", F.explode("own").alias("key")).select("node", "key", F.get("ahead", seg).alias("ahead"))
-    looked = nodes.select("node", "own", "ahead", F.explode(F.concat("own", "probes")).alias("key"))
-    looked = looked.select("node", "key", F.get("ahead", seg).alias("ahead"), F.bit_count(F.get("own", seg).bitwiseXOR(F.col("key"))).alias("bits"))
-
-    def begins(x: str, y: str) -> Column:
-        """The chain's first three segments stay within their budgets: the one in common and the two ahead."""
-        apart = F.col(x).bitwiseXOR(F.col(y))
-        return (F.col("bits") + F.bit_count(F.shiftrightunsigned(apart, 22)) <= 2 * budget // m) & (F.col("bits") + F.bit_count(apart) <= 3 * budget // m)
-
-    heads = materialize(base.groupBy("key").agg(F.min("node").alias("head"), F.min_by("ahead", "node").alias("head_ahead"), F.count(F.lit(1)).alias("n")), "heads")
-    met = (F.col("head") != F.col("node")) & begins("ahead", "head_ahead")
-    hits = materialize(looked.join(heads.hint("merge"), "key").where((F.col("n") > 1) | met).withColumn("met", met), "hits")
-    prints_of = full.select("node", *cols)
-
-    def near(pairs: DataFrame) -> DataFrame:
-        """(a, b) of candidates (a, b, key) that pass the filter and the full check; each pair is looked at once."""
-        pairs = pairs.groupBy("a", "b").agg(F.collect_set(seg).alias("segs"))
-        for side in "ab":
-            fp = prints_of.select(F.col("node").alias(side), *(F.col(c).alias(f"{side}{c}") for c in cols))
-            pairs = pairs.join(fp.hint("merge"), side)
-        apart = [F.bit_count(F.col(f"af{w}").bitwiseXOR(F.col(f"bf{w}")).bitwiseAND(F.lit(mask(*p)))) for w, p in parts]
-        total = sum((F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in cols), F.lit(0))
-        ring = pairs.where(total <= budget).select("a", "b", "segs", F.array(*apart, *apart).alias("d"))
-        step = "named_struct('s', x.s + element_at(d, seg + l), 'ok', x.ok AND x.s + element_at(d, seg + l) <= floor(l * {0} / {1}))".format(budget, m)
-        chained = F.expr(f"exists(segs, seg -> aggregate(sequence(1, {m}), named_struct('s', 0, 'ok', true), (x, l) -> {step}, x -> x.ok))")
-        return alike(ring.where(chained).select("a", "b"), full.select("node", F.col("least").alias("doc_id")), docs, similarity, words)
-
-    first = materialize(near(hits.where("met").select(F.col("node").alias("a"), F.col("head").alias("b"), "key")), "first")
-    part_of = components(first)
-    part_of = materialize(nodes.select("node").join(part_of.hint("merge"), "node", "left").select("node", F.coalesce("root", "node").alias("part")), "parts")
-
-    shared = heads.where("n > 1").join(part_of.select(F.col("node").alias("head"), F.col("part").alias("main")).hint("merge"), "head").select("key", "main")
-    shared = materialize(shared, "shared")
-    there = materialize(base.join(shared.hint("merge"), "key").join(part_of.hint("merge"), "node").select("key", F.col("ahead").alias("b_ahead"), "main", F.col("node").alias("b"), F.col("part").alias("b_part")), "there")
-    asking = materialize(hits.where("n > 1").select("key", "node", "ahead", "bits").join(shared.hint("merge"), "key").join(part_of.hint("merge"), "node").select("key", "ahead", "bits", "main", F.col("node").alias("a"), F.col("part").alias("a_part")), "asking")
-    within = (F.col("a_part") != F.col("b_part")) & begins("ahead", "b_ahead")
-    there = there.drop("main")
-    others = there.join(shared.hint("merge"), "key").where("b_part <> main").drop("main")  # the main component never meets itself
-    across = asking.where("a_part = main").join(others.hint("merge"), "key").where(within).unionByName(asking.where("a_part <> main").join(there.hint("merge"), "key").where(within))
-    second = near(across.select("a", "b", "key"))
-    roots = components(first.unionByName(second))
-    named = nodes.join(roots.hint("merge"), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    fields = [T.StructField("node", T.LongType()), T.StructField("size", T.IntegerType()), *(T.StructField(b, T.LongType()) for b in bits), T.StructField("prefix", T.ArrayType(T.LongType()))]
+    prints = materialize(with_text_columns(docs, fields, make, keep=["row"]), "prints")
+    # a null doc_id comes after all others
+    nodes = materialize(prints.groupBy("node").agg(F.min(F.struct(F.col("row.doc_id").isNull().alias("none"), "row")).alias("first"), *(F.min(c).alias(c) for c in ("size", *bits))), "nodes")
+    marks = nodes.select("node", "size", *bits)
+    rows_of = nodes.select("node", "first.row")
+    keyed = prints.select("node", F.posexplode("prefix").alias("at", "key"))
+    heads = keyed.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head <> last").select("key", "head")
+    heads = materialize(heads, "heads")
+    found = materialize(keyed.join(heads.hint("merge"), "key").distinct(), "found")
+
+    def may_be(x: str, y: str) -> Column:
+        """The bitmaps and sizes of two nodes leave the similarity open."""
+        total = F.col(f"{x}size") + F.col(f"{y}size")
+        apart = sum((F.bit_count(F.col(f"{x}{b}").bitwiseXOR(F.col(f"{y}{b}"))) for b in bits), F.lit(0))
+        return (F.least(f"{x}size", f"{y}size") * (1 + similarity) >= total * similarity - 1e-9) & (apart * (1 + similarity) <= total * (1 - similarity) + 1e-9)
+
+    def marked(rows: DataFrame, side: str) -> DataFrame:
+        return rows.join(marks.select(F.col("node").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in ("size", *bits))).hint("merge"), side)
+
+    first = found.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
+    first = marked(marked(first, "a"), "b").where(may_be("a_", "b_")).select("a", "b")
+    first = materialize(alike(first, rows_of, docs, similarity, words), "first")
+    part_of = materialize(nodes.select("node").join(components(first).hint("merge"), "node", "left").select("node", F.coalesce("root", "node").alias("part")), "parts")
+
+    placed = materialize(found.join(part_of.hint("merge"), "node"), "placed")
+    open_keys = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
+    main = part_of.select(F.col("node").alias("head"), F.col("part").alias("main"))
+    left = placed.join(materialize(open_keys, "open").hint("merge"), "key").join(main.hint("merge"), "head")
+
+    def side(x: str, *more: str) -> DataFrame:
+        return marked(left.select("key", F.col("node").alias(x), F.col("part").alias(f"{x}_part"), F.col("at").alias(f"{x}_at"), "main"), x).select("key", x, f"{x}_part", f"{x}_at", *(f"{x}_{c}" for c in ("size", *bits)), *more)
+
+    # the main component of a hash never meets itself
+    others, there = side("a", "main").where("a_part <> main"), side("b")
+    ahead = F.least(F.col("a_size") - F.col("a_at"), F.col("b_size") - F.col("b_at")) * (1 + similarity) >= (F.col("a_size") + F.col("b_size")) * similarity - 1e-9
+    met = (F.col("a_part") != F.col("b_part")) & ((F.col("b_part") == F.col("main")) | (F.col("a") < F.col("b"))) & ahead & may_be("a_", "b_")
+    across = materialize(others, "others").alias("o").join(materialize(there, "there").hint("merge"), "key").where(met).select("a", "b")
+    second = alike(across, rows_of, docs, similarity, words)
+    named = nodes.join(components(first.unionByName(second)).hint("merge"), "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     named = materialize(named, "roots")
-    least = materialize(named.groupBy("root").agg(F.min("least").alias("component_id")), "components")
-    named = materialize(named.join(least.hint("merge"), "root").select("node", "component_id"), "named")
-    return prints.select("doc_id", "node").join(named.hint("merge"), "node").select("doc_id", "component_id")
+    least = materialize(named.groupBy("root").agg(F.min("first").alias("least")), "components")
+    named = materialize(named.join(least.hint("merge"), "root").select("node", "least.row"), "named")
+    return prints.select("node", F.col("row").alias("own")).join(named.hint("merge"), "node").select(F.col("own").alias("row"), F.col("row").alias("least"))
 
 
-def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs with one document of each group of similar_groups(), that of the least doc_id.
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id): the least doc_id of the row's group in similar_rows()."""
+    groups = similar_rows(with_row_key(docs.select("doc_id", "text"), "row").select("row", "text"), words, similarity)
+    return groups.select("row.doc_id", F.col("least.doc_id").alias("component_id"))
 
-    A doc_id on several rows goes if one of them is like a document of a lesser doc_id, and else stays on all.
-    """
-    groups = similar_groups(docs, words, similarity)
-    out = materialize(groups.where("doc_id <> component_id OR (doc_id IS NULL AND component_id IS NOT NULL)").select(F.col("doc_id").alias(key := fresh("out_id", docs))), "copies")
-    return docs.join(out.hint("merge"), F.col("doc_id").eqNullSafe(F.col(key)), "left_anti")
+
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one row of each group of similar_rows(): that of the least doc_id, a row without one coming last."""
+    row, out = fresh("row", docs), fresh("out", docs)
+    keyed = with_row_key(docs, row)
+    groups = similar_rows(keyed.select(F.col(row).alias("row"), "text"), words, similarity)
+    gone = materialize(groups.where("row <> least").select(F.col("row").alias(out)), "copies")
+    return keyed.join(gone.hint("merge"), F.col(row) == F.col(out), "left_anti").drop(row)

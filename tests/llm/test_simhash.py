@@ -164,3 +164,41 @@ def test_texts_below_the_similarity_stay_apart(documents):
     assert all(jaccard(*texts[i : i + 2]) < 0.75 for i in range(0, len(texts), 2))
     got = {r.doc_id: r.component_id for r in simhash.similar_groups(documents(texts)).collect()}
     assert got == {i: i for i in range(len(texts))}
+
+
+def test_no_pair_of_the_similarity_is_left_out(documents):
+    rng = random.Random(2)
+    texts = []
+    while len(texts) < 400:  # isolated pairs just above the similarity
+        words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        k = rng.randrange(24, 34)
+        pair = [" ".join(words), " ".join([*words[: 300 - k], *(f"x{rng.randrange(10**6)}" for _ in range(k))])]
+        if 0.8 <= jaccard(*pair) < 0.83:
+            texts += pair
+    texts += ["a b c d e f g h i", "a b c d e f g h", "b c d e f g h i"]  # 4 of 5 shingles: 0.8 exactly
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(documents(texts)).collect()}
+    assert [got[i] for i in range(400)] == [i - i % 2 for i in range(400)]
+    assert [got[i] for i in range(400, 403)] == [400] * 3
+
+
+def test_common_shingles_and_chains(documents, monkeypatch):
+    rng = random.Random(4)
+    line = " ".join(f"c{i}" for i in range(40))
+    texts = []
+    for _ in range(6):  # a chain: each text is like the one before it alone
+        words = [f"w{rng.randrange(10**6)}" for _ in range(160)]
+        for k in range(10):
+            words[16 * k : 16 * k + 16] = [f"x{rng.randrange(10**6)}" for _ in range(16)]
+            texts.append(line + " " + " ".join(words))
+    texts += [f"{line} {i}" for i in range(30)] + [line + " " + " ".join(f"y{rng.randrange(10**6)}" for _ in range(50)) for _ in range(30)]
+    root = list(range(len(texts)))
+    find = lambda x: x if root[x] == x else find(root[x])
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard(texts[i], texts[j]) >= 0.8:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    for common in (8, 10**9):
+        monkeypatch.setattr(simhash, "COMMON", common)
+        got = {r.doc_id: r.component_id for r in simhash.similar_groups(documents(texts)).collect()}
+        assert got == {i: find(i) for i in range(len(texts))}
