@@ -7,7 +7,7 @@ sentencepiece library reports them.
 
 Ids are those of the library for the whole text. No piece of a model with escaped spaces may hold a space mark after
 another character for the text to be cut before its spaces and each cut be encoded once; the codec looks at the
-vocabulary and hands over whole texts where this doesn't hold. Decoding is the library's, of all ids of the document.
+vocabulary and hands over whole texts where this doesn't hold, and texts that hold a space mark themselves. Decoding is the library's, of all ids of the document.
 
 Defined results: a null text is like an empty one: no ids; other columns stay, repeated rows are encoded one by one,
 an empty table gives an empty result, and memory is that of one batch of whole texts and a bounded store of words.
@@ -147,6 +147,14 @@ class Codec:
     def encode(self, texts: Sequence[str]) -> list[list[int]]:
         if not self.cuttable:
             return self.model.encode(list(texts), num_threads=1)
+        whole = [i for i, t in enumerate(texts) if MARK in t]  # a mark of the source can join the next cut's
+        if whole:
+            out: list = [None] * len(texts)
+            rest = [i for i, t in enumerate(texts) if MARK not in t]
+            for places, ids in ((whole, self.model.encode([texts[i] for i in whole], num_threads=1)), (rest, self.encode([texts[i] for i in rest]))):
+                for i, x in zip(places, ids, strict=True):
+                    out[i] = x
+            return out
         cuts = [self._cuts(t) for t in texts]
         if len(self.store) > STORE:
             self.store.clear()

@@ -1,4 +1,5 @@
 import hashlib
+import random
 from types import SimpleNamespace
 
 import public_tokenizers
@@ -22,6 +23,13 @@ def test_ids_and_spans_are_the_library_s():
         assert list(zip(b.tolist(), e.tolist(), strict=True)) == [(p.begin, p.end) for p in model.encode(t, return_type="proto").pieces], t
 
 
+def test_space_marks_in_the_source():
+    r = random.Random(6)
+    texts = ["a ▁ ▁ ▁b", "▁ ▁", "no mark", "▁", *("".join(r.choices("ab ▁", k=r.randrange(1, 12))) for _ in range(3000))]
+    model, codec = sentencepiece.SentencePieceProcessor(model_file=FILE), pieces.codec(FILE)
+    assert codec.cuttable and codec.encode(texts) == model.encode(texts)
+
+
 def trie(rules):
     """A double array of the rules: each node's children at its offset, an offset for each node that no other uses."""
     units, strings = {0: None}, b""
