@@ -139,6 +139,12 @@ def test_one_stays_of_each_group(documents):
     assert simhash.keep_one(docs.limit(0)).count() == 0
 
 
+def test_rows_without_an_id_of_their_own_are_decided_one_by_one(documents):
+    one, two = (" ".join(f"{c}{i}" for i in range(100)) for c in "vw")
+    for ids, kept in (([1, None, None, None], [one, two]), ([5, 5, 5, 5], [one, two]), ([None] * 4, [one, two])):
+        assert sorted(r.text for r in simhash.keep_one(documents([one, one, two, two], ids)).collect()) == kept
+
+
 def test_query(spark, small):
     from spalt.llm.queries import QUERIES
 
