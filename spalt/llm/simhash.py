@@ -215,13 +215,13 @@ def set_number(found: np.ndarray) -> int:
 
 #: Texts of the sample that finds common shingles, and in how many of them a shingle must be.
 SAMPLE, COMMON = 8_000, 8
-#: Words of 64 bits of a bitmap.
-BITMAP = 4
+#: Words of 64 bits of a bitmap, and of the wide one that pairs meet before their sets.
+BITMAP, WIDE = 4, 64
 
 
-def bitmap(found: np.ndarray) -> np.ndarray:
+def bitmap(found: np.ndarray, size: int = BITMAP) -> np.ndarray:
     """Whether an odd number of the set's hashes falls on each of the bits: two sets differ in as many hashes as bits, or more."""
-    odd = np.bincount((found.view(np.uint64) >> np.uint64(56)).astype(np.int64), minlength=64 * BITMAP) & 1
+    odd = np.bincount((found.view(np.uint64) >> np.uint64(59 - size.bit_length())).astype(np.int64), minlength=64 * size) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -251,7 +251,7 @@ def alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float
     nodes: (node, row), a row of docs with that node's set. Sets are made again for the texts that are in a pair, and
     are never stored for the others.
     """
-    pairs = materialize(pairs.distinct(), "candidates")
+    pairs = materialize(pairs, "candidates")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
     def make():
@@ -290,16 +290,26 @@ def similar_rows(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Da
         def compute(texts: list) -> list:
             found = [shingles(t, words) for t in texts]
             maps = np.array([bitmap(x) for x in found]).reshape(-1, BITMAP)
-            return [[set_number(x) for x in found], [len(x) for x in found], *(pa.array(maps[:, i]) for i in range(BITMAP)), pa.array([prefix(x, similarity, common) for x in found], pa.list_(pa.int64()))]
+            return [[set_number(x) for x in found], [len(x) for x in found], *(pa.array(maps[:, i]) for i in range(BITMAP)), pa.array([prefix(x, similarity, common) for x in found], pa.list_(pa.int64())), pa.array([bitmap(x, WIDE) for x in found], pa.list_(pa.int64()))]
 
         return compute
 
-    fields = [T.StructField("node", T.LongType()), T.StructField("size", T.IntegerType()), *(T.StructField(b, T.LongType()) for b in bits), T.StructField("prefix", T.ArrayType(T.LongType()))]
+    fields = [T.StructField("node", T.LongType()), T.StructField("size", T.IntegerType()), *(T.StructField(b, T.LongType()) for b in bits), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("wide", T.ArrayType(T.LongType()))]
     prints = materialize(with_text_columns(docs, fields, make, keep=["row"]), "prints")
     # a null doc_id comes after all others
     nodes = materialize(prints.groupBy("node").agg(F.min(F.struct(F.col("row.doc_id").isNull().alias("none"), "row")).alias("first"), *(F.min(c).alias(c) for c in ("size", *bits))), "nodes")
     marks = nodes.select("node", "size", *bits)
     rows_of = nodes.select("node", "first.row")
+    wides = materialize(prints.groupBy("node").agg(F.first("size").alias("size"), F.first("wide").alias("wide")), "wides")
+
+    def close(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b), each once, whose wide bitmaps leave the similarity open."""
+        pairs = materialize(pairs.distinct(), "pairs")
+        for side in "ab":
+            pairs = pairs.join(wides.select(F.col("node").alias(side), F.col("size").alias(f"{side}_size"), F.col("wide").alias(f"{side}_wide")).hint("merge"), side)
+        apart = F.aggregate(F.zip_with("a_wide", "b_wide", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+        return pairs.where(apart * (1 + similarity) <= (F.col("a_size") + F.col("b_size")) * (1 - similarity) + 1e-9).select("a", "b")
+
     keyed = prints.select("node", F.posexplode("prefix").alias("at", "key"))
     heads = keyed.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head <> last").select("key", "head")
     heads = materialize(heads, "heads")
@@ -316,7 +326,7 @@ def similar_rows(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Da
 
     first = found.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
     first = marked(marked(first, "a"), "b").where(may_be("a_", "b_")).select("a", "b")
-    first = materialize(alike(first, rows_of, docs, similarity, words), "first")
+    first = materialize(alike(close(first), rows_of, docs, similarity, words), "first")
     part_of = materialize(nodes.select("node").join(components(first).hint("merge"), "node", "left").select("node", F.coalesce("root", "node").alias("part")), "parts")
 
     placed = materialize(found.join(part_of.hint("merge"), "node"), "placed")
@@ -332,7 +342,7 @@ def similar_rows(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Da
     ahead = F.least(F.col("a_size") - F.col("a_at"), F.col("b_size") - F.col("b_at")) * (1 + similarity) >= (F.col("a_size") + F.col("b_size")) * similarity - 1e-9
     met = (F.col("a_part") != F.col("b_part")) & ((F.col("b_part") == F.col("main")) | (F.col("a") < F.col("b"))) & ahead & may_be("a_", "b_")
     across = materialize(others, "others").alias("o").join(materialize(there, "there").hint("merge"), "key").where(met).select("a", "b")
-    second = alike(across, rows_of, docs, similarity, words)
+    second = alike(close(across), rows_of, docs, similarity, words)
     named = nodes.join(components(first.unionByName(second)).hint("merge"), "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     named = materialize(named, "roots")
     least = materialize(named.groupBy("root").agg(F.min("first").alias("least")), "components")
