@@ -23,9 +23,27 @@ def enum_label(value: Column) -> Column:
     return value["label"]
 
 
+def enum_literal(value: str, labels: Sequence[str]) -> Column:
+    """A text that takes the enum type of the other side of a comparison."""
+    if value not in labels:
+        raise AnalysisError(f"not a label: {value}")
+    return enum(F.lit(value), labels)
+
+
+def _inside(values: Sequence[Column], made: Column, kinds: Sequence[str] | None) -> tuple[Column, Column]:
+    """(a condition that is TRUE, or an error where a value is NULL or not of its type, made)."""
+    bad = F.lit(False)
+    for i, v in enumerate(values):
+        bad = bad | v.isNull()
+        if kinds is not None:
+            bad = F.when(F.typeof(v) != F.lit(kinds[i]), F.raise_error(F.concat(F.lit(f"type error: expected {kinds[i]}, not "), F.typeof(v))).cast("boolean")).otherwise(bad)
+    return F.when(bad, F.raise_error(F.lit("type error: NULL inside a composite value")).cast("boolean")).otherwise(F.lit(True)), made
+
+
 def some(value: Column) -> Column:
-    """An optional that holds a value: an array of one. NULL < nothing < something."""
-    return F.array(value)
+    """An optional that holds a value, which is not NULL: an array of one. NULL < nothing < something."""
+    sound, made = _inside([value], F.array(value), None)
+    return F.when(sound, made)
 
 
 def nothing(kind: str) -> Column:
@@ -37,9 +55,15 @@ def maybe(value: Column, kind: str) -> Column:
     return F.when(value.isNull(), nothing(kind)).otherwise(F.array(value.cast(kind)))
 
 
-def list_of(*values: Column) -> Column:
-    return F.array(*values)
+def list_of(*values: Column, kind: str | None = None) -> Column:
+    """A list without NULLs; of exactly this type if kind is given."""
+    if not values:
+        return nothing(kind or "void")
+    sound, made = _inside(values, F.array(*values), [kind] * len(values) if kind else None)
+    return F.when(sound, made)
 
 
-def tuple_of(*values: Column) -> Column:
-    return F.struct(*(v.alias(f"_{i}") for i, v in enumerate(values, 1)))
+def tuple_of(*values: Column, kinds: Sequence[str] | None = None) -> Column:
+    """A tuple without NULLs; of exactly these types if kinds are given."""
+    sound, made = _inside(values, F.struct(*(v.alias(f"_{i}") for i, v in enumerate(values, 1))), kinds)
+    return F.when(sound, made)

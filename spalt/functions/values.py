@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from spalt.errors import TypeMismatch
 
 
 def _nonzero(b: Column) -> Column:
@@ -40,3 +43,19 @@ def negate(b: Column) -> Column:
 def bounded_text(text: Column, n: int) -> Column:
     """A text of at most n characters; longer is an error, nothing is cut or padded."""
     return F.when(F.length(text) > n, F.raise_error(F.lit(f"text longer than {n} characters")).cast("string")).otherwise(text)
+
+
+_COMPARE = {"=": lambda a, b: a == b, "<>": lambda a, b: a != b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
+
+
+def family(kind: T.DataType) -> str:
+    """What a type can be compared with: numbers with numbers, every other type with its own."""
+    return "number" if isinstance(kind, T.NumericType) else kind.simpleString()
+
+
+def compare(df: DataFrame, left: Column, op: str, right: Column) -> Column:
+    """left op right over rows of df, an error for types of different families, where Spark would cast one; NULL compares with all."""
+    kinds = [f.dataType for f in df.select(left.alias("a"), right.alias("b")).schema]
+    if not any(isinstance(k, T.NullType) for k in kinds) and family(kinds[0]) != family(kinds[1]):
+        raise TypeMismatch(f"type error: cannot compare these values ({kinds[0].simpleString()} and {kinds[1].simpleString()})")
+    return _COMPARE[op](left, right)
