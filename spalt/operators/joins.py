@@ -1,4 +1,5 @@
-"""Inner and left joins, semi and anti joins, and joins whose condition holds a subquery over both sides."""
+"""Inner and left joins, semi and anti joins, joins without an equality or with a hot one, and joins whose condition holds a
+subquery over both sides."""
 
 from __future__ import annotations
 
@@ -7,6 +8,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spalt.operators.names import fresh
+
 On = Column | Sequence[Column]
 
 
@@ -30,7 +33,8 @@ def not_exists(outer: DataFrame, inner_: DataFrame, on: On) -> DataFrame:
 
 def is_in(outer: DataFrame, x: str, values: DataFrame, v: str) -> DataFrame:
     """Outer rows for which x IN (values) is TRUE."""
-    return outer.join(values.select(F.col(v).alias("__v")), F.col(x) == F.col("__v"), "left_semi")
+    name = fresh("v", outer)
+    return outer.join(values.select(F.col(v).alias(name)), F.col(x) == F.col(name), "left_semi")
 
 
 def not_in(outer: DataFrame, x: str, values: DataFrame, v: str) -> DataFrame:
@@ -38,18 +42,68 @@ def not_in(outer: DataFrame, x: str, values: DataFrame, v: str) -> DataFrame:
 
     An anti join on equality and one row of counts, so that no side has to be broadcast.
     """
-    values = values.select(F.col(v).alias("__v"))
-    facts = values.agg(F.struct(F.count(F.lit(1)).alias("n"), F.count_if(F.col("__v").isNull()).alias("nulls"))).scalar()
-    kept = outer.join(values, F.col(x) == F.col("__v"), "left_anti").withColumn("__f", facts)
-    return kept.where((F.col("__f.n") == 0) | (F.col(x).isNotNull() & (F.col("__f.nulls") == 0))).drop("__f")
+    name, facts = fresh("v", outer), fresh("facts", outer)
+    values = values.select(F.col(v).alias(name))
+    counts = values.agg(F.struct(F.count(F.lit(1)).alias("n"), F.count_if(F.col(name).isNull()).alias("nulls"))).scalar()
+    kept = outer.join(values, F.col(x) == F.col(name), "left_anti").withColumn(facts, counts)
+    return kept.where((F.col(f"{facts}.n") == 0) | (F.col(x).isNotNull() & (F.col(f"{facts}.nulls") == 0))).drop(facts)
+
 
+def same_row(left_: DataFrame, names: dict[str, str]) -> Column:
+    """Equality of rows, NULLs being equal: left columns against the other side's names for them."""
+    out = F.lit(True)
+    for c, other in names.items():
+        out = out & left_[c].eqNullSafe(F.col(other))
+    return out
 
-def left_matching(left_: DataFrame, right: DataFrame, key: str, on: On, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+
+def left_matching(left_: DataFrame, right: DataFrame, on: On, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """A left join whose matches must also pass `keep`, any filter or semi join over both sides' columns.
 
-    key identifies a row of left_. The pairs are an inner join that keep filters; left rows come back by key.
+    The pairs are an inner join that keep filters; left rows of which no pair is left follow, padded with NULLs. Equal left
+    rows have equal matches, so this needs no key, and rows with NULLs are like any other. The two sides' column names differ.
     """
     pairs = keep(left_.join(right, on, "inner"))
-    names = right.columns
-    matched = pairs.select(F.col(key).alias("__key"), *names)
-    return left_.join(matched, F.col(key) == F.col("__key"), "left").drop("__key")
+    names = {c: fresh(f"{c}_own", left_, right) for c in left_.columns}
+    matched = pairs.select(*(F.col(c).alias(n) for c, n in names.items())).distinct()
+    alone = left_.join(matched, same_row(left_, names), "left_anti")
+    padded = alone.select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema))
+    return pairs.select(*left_.columns, *right.columns).unionByName(padded)
+
+
+def exists_nested(outer: DataFrame, refs: Sequence[str], levels: Sequence[tuple[DataFrame, On]], negate: bool = False) -> DataFrame:
+    """Outer rows for which the first level has a row for which the second has one, and so on: EXISTS in EXISTS.
+
+    Each level's condition may name columns of the outer rows (refs) and of every level before it. The distinct values of
+    refs meet the first level once; what passes is one row for each such value that the outer rows are matched with.
+    """
+    (inner_, on), *rest = levels
+    if not rest:
+        return outer.join(inner_, on, "left_anti" if negate else "left_semi")
+    bound = outer.select(*refs).distinct().join(inner_, on, "inner")
+    passed = exists_nested(bound, bound.columns, rest)
+    names = {c: fresh(f"{c}_own", outer) for c in refs}
+    passed = passed.select(*(F.col(c).alias(n) for c, n in names.items())).distinct()
+    return outer.join(passed, same_row(outer, names), "left_anti" if negate else "left_semi")
+
+
+def salted(left_: DataFrame, right: DataFrame, left_key: str, right_key: str, salts: int, extra: Column | None = None, how: str = "inner") -> DataFrame:
+    """A join on few or hot key values: left rows are dealt to `salts` parts of their key, each of which has the right rows."""
+    a, b = fresh("salt", left_, right), fresh("salt_right", left_, right)
+    dealt = left_.withColumn(a, F.pmod(F.xxhash64(*(F.col(c) for c in left_.columns)), F.lit(salts)))
+    copies = right.withColumn(b, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    on = (dealt[left_key] == copies[right_key]) & (F.col(a) == F.col(b))
+    return dealt.join(copies, on if extra is None else on & extra, how).drop(a, b)
+
+
+def within(left_: DataFrame, right: DataFrame, x: str, low: str, high: str, width: float, how: str = "inner") -> DataFrame:
+    """left JOIN right ON x BETWEEN low AND high, as an equality of cells of `width` and the condition: nothing is crossed.
+
+    A right row is in every cell that its range touches, a left row in one, so each pair is found once. Choose a width
+    like the usual range; a wide range among narrow ones costs a row for each cell.
+    """
+    a, b = fresh("cell", left_, right), fresh("cell_right", left_, right)
+    cell = lambda c: F.floor(F.col(c) / F.lit(float(width)))
+    placed = left_.withColumn(a, cell(x))
+    spread = right.where(F.col(low) <= F.col(high)).withColumn(b, F.explode(F.sequence(cell(low), cell(high))))
+    return placed.join(spread, (F.col(a) == F.col(b)) & F.col(x).between(F.col(low), F.col(high)), how).drop(a, b)

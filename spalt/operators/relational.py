@@ -8,9 +8,11 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spalt.errors import AnalysisError
+from spalt.errors import AnalysisError, TypeMismatch
 
 Key = str | int | Column
+#: Scalars that have equality alone.
+UNORDERED = ("json", "inet", "cidr", "interval")
 
 
 def scan(spark: SparkSession, folder: str, name: str, columns: Sequence[str] | None = None, alias: str | None = None) -> DataFrame:
@@ -46,7 +48,10 @@ def unit(spark: SparkSession, outputs: Mapping[str, Column]) -> DataFrame:
 
 
 def sort_keys(df: DataFrame, keys: Sequence[Key]) -> list[Column]:
-    """'c' ascending, '-c' descending, n or -n the n-th output column; NULL counts as lowest either way."""
+    """'c' ascending, '-c' descending, n or -n the n-th output column; NULL counts as lowest either way.
+
+    A column whose metadata say that it holds canonical texts without an order (JSON, networks, intervals) is an error.
+    """
     out = []
     for k in keys:
         if isinstance(k, Column):
@@ -58,6 +63,9 @@ def sort_keys(df: DataFrame, keys: Sequence[Key]) -> list[Column]:
             name, down = f"`{df.columns[abs(k) - 1]}`", k < 0
         else:
             name, down = k.removeprefix("-"), k.startswith("-")
+        scalar = next((f.metadata.get("scalar") for f in df.schema if f.name == name.strip("`")), None)
+        if scalar in UNORDERED:
+            raise TypeMismatch(f"ORDER BY: type capability: {scalar} has no order")
         out.append(F.col(name).desc_nulls_last() if down else F.col(name).asc_nulls_first())
     return out
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spalt.errors import AnalysisError
+from spalt.operators.names import fresh
 
 TOO_MANY = "scalar subquery returned more than one row"
 
@@ -21,29 +22,32 @@ def scalar(values: DataFrame, v: str) -> Column:
     return values.agg(F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit(TOO_MANY)).cast(values.schema[v].dataType)).otherwise(F.first(v))).scalar()
 
 
+def _keys(outer: DataFrame, on: Mapping[str, str]) -> dict[str, str]:
+    """Inner column -> a name that outer doesn't have, for the correlation keys in order."""
+    return {b: fresh(f"key{i}", outer) for i, b in enumerate(on.values())}
+
+
 def with_scalar(outer: DataFrame, label: str, inner: DataFrame, on: Mapping[str, str], v: str) -> DataFrame:
     """outer with the value of a subquery correlated by outer column = inner column, under the rules of scalar()."""
-    keys = [F.col(b).alias(f"__k{i}") for i, b in enumerate(on.values())]
-    summed = inner.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.first(v).alias("__v"))
-    joined = _correlate(outer, summed, on)
-    value = F.when(F.col("__n") > 1, F.raise_error(F.lit(TOO_MANY)).cast(inner.schema[v].dataType)).otherwise(F.col("__v"))
-    return joined.withColumn(label, value).drop("__n", "__v")
+    n, value = fresh("n", outer), fresh("value", outer)
+    summed = inner.groupBy(*(F.col(b).alias(k) for b, k in _keys(outer, on).items())).agg(F.count(F.lit(1)).alias(n), F.first(v).alias(value))
+    out = F.when(F.col(n) > 1, F.raise_error(F.lit(TOO_MANY)).cast(inner.schema[v].dataType)).otherwise(F.col(value))
+    return _correlate(outer, summed, on).withColumn(label, out).drop(*({n, value} - {label}))
 
 
 def with_aggregate(outer: DataFrame, label: str, inner: DataFrame, on: Mapping[str, str], value: Column, if_none: Column | None = None) -> DataFrame:
     """outer with an aggregate over the inner rows that agree on the correlation keys; if_none where there are none."""
-    keys = [F.col(b).alias(f"__k{i}") for i, b in enumerate(on.values())]
-    joined = _correlate(outer, inner.groupBy(*keys).agg(value.alias("__v"), F.lit(True).alias("__some")), on)
-    v = F.col("__v") if if_none is None else F.when(F.col("__some"), F.col("__v")).otherwise(if_none)
-    return joined.withColumn(label, v).drop("__v", "__some")
+    v, some = fresh("value", outer), fresh("some", outer)
+    summed = inner.groupBy(*(F.col(b).alias(k) for b, k in _keys(outer, on).items())).agg(value.alias(v), F.lit(True).alias(some))
+    out = F.col(v) if if_none is None else F.when(F.col(some), F.col(v)).otherwise(if_none)
+    return _correlate(outer, summed, on).withColumn(label, out).drop(*({v, some} - {label}))
 
 
 def _correlate(outer: DataFrame, summed: DataFrame, on: Mapping[str, str]) -> DataFrame:
-    condition = None
-    for i, a in enumerate(on):
-        c = F.col(a) == F.col(f"__k{i}")
-        condition = c if condition is None else condition & c
-    return outer.join(summed, condition, "left").drop(*(f"__k{i}" for i in range(len(on))))
+    keys, condition = list(_keys(outer, on).values()), F.lit(True)
+    for a, k in zip(on, keys, strict=True):
+        condition = condition & (F.col(a) == F.col(k))
+    return outer.join(summed, condition, "left").drop(*keys)
 
 
 def _facts(v: Column) -> list[Column]:
@@ -75,22 +79,41 @@ def with_quantified(outer: DataFrame, label: str, x: str, op: str, quantifier: s
     if (op, every) in (("=", False), ("<>", True)):
         out = with_in(outer, label, x, inner, v, on)
         return out.withColumn(label, ~F.col(label)) if every else out
+    facts = fresh("facts", outer)
     if on:
-        keys = [F.col(b).alias(f"__k{i}") for i, b in enumerate(on.values())]
-        joined = _correlate(outer, inner.groupBy(*keys).agg(F.struct(*_facts(F.col(v))).alias("__f")), on)
+        keys = [F.col(b).alias(k) for b, k in _keys(outer, on).items()]
+        joined = _correlate(outer, inner.groupBy(*keys).agg(F.struct(*_facts(F.col(v))).alias(facts)), on)
     else:
-        joined = outer.withColumn("__f", inner.agg(F.struct(*_facts(F.col(v)))).scalar())
-    return joined.withColumn(label, _verdict(F.col(x), op, every, F.col("__f"))).drop("__f")
+        joined = outer.withColumn(facts, inner.agg(F.struct(*_facts(F.col(v)))).scalar())
+    return joined.withColumn(label, _verdict(F.col(x), op, every, F.col(facts))).drop(facts)
 
 
 def with_in(outer: DataFrame, label: str, x: str, inner: DataFrame, v: str, on: Mapping[str, str] | None = None) -> DataFrame:
-    """outer with x IN (inner.v): TRUE, FALSE or NULL; FALSE for no rows even if x is NULL."""
+    """outer with x IN (inner.v): TRUE, FALSE or NULL; FALSE for no rows even if x is NULL.
+
+    inner is summed once to a row for each value (of each correlation key); the hits and the counts both come from these.
+    """
     on = dict(on or {})
+    facts, hit, value, n = fresh("facts", outer), fresh("hit", outer), fresh("value", outer), fresh("n", outer)
+    keys = _keys(outer, on)
+    each = inner.groupBy(*(F.col(b).alias(k) for b, k in keys.items()), F.col(v).alias(value)).agg(F.count(F.lit(1)).alias(n))
+    counts = F.struct(F.sum(n).alias("n"), F.coalesce(F.sum(F.when(F.col(value).isNull(), F.col(n))), F.lit(0)).alias("nulls"))
     if on:
-        keys = [F.col(b).alias(f"__k{i}") for i, b in enumerate(on.values())]
-        joined = _correlate(outer, inner.groupBy(*keys).agg(F.struct(F.count(F.lit(1)).alias("n"), F.count_if(F.col(v).isNull()).alias("nulls")).alias("__f")), on)
+        joined = _correlate(outer, each.groupBy(*keys.values()).agg(counts.alias(facts)), on)
     else:
-        joined = outer.withColumn("__f", inner.agg(F.struct(F.count(F.lit(1)).alias("n"), F.count_if(F.col(v).isNull()).alias("nulls"))).scalar())
-    found = inner.select(*(F.col(b).alias(f"__k{i}") for i, b in enumerate([*on.values(), v]))).distinct().withColumn("__hit", F.lit(True))
-    joined = _correlate(joined, found, {**on, x: v})
-    return joined.withColumn(label, _three_valued(F.col(x), F.col("__f"), F.coalesce(F.col("__hit"), F.lit(False)), False)).drop("__f", "__hit")
+        joined = outer.withColumn(facts, each.agg(counts).scalar())
+    condition = F.col(x) == F.col(value)
+    for a, k in zip(on, keys.values(), strict=True):
+        condition = condition & (F.col(a) == F.col(k))
+    joined = joined.join(each.select(*keys.values(), value, F.lit(True).alias(hit)), condition, "left").drop(*keys.values(), value)
+    return joined.withColumn(label, _three_valued(F.col(x), F.col(facts), F.coalesce(F.col(hit), F.lit(False)), False)).drop(facts, hit)
+
+
+def exists_where(outer: DataFrame, on: Mapping[str, str], x: str, op: str, inner: DataFrame, v: str, negate: bool = False) -> DataFrame:
+    """Outer rows for which an inner row agrees on the keys and has x op v: a correlation by another comparison than equality.
+
+    That is x op ANY (v) being TRUE, which the least and greatest v of each key decide: no pairs of rows are made.
+    """
+    name = fresh("found", outer)
+    found = F.coalesce(F.col(name), F.lit(False))
+    return with_quantified(outer, name, x, op, "ANY", inner, v, on).where(~found if negate else found).drop(name)

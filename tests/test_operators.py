@@ -91,10 +91,65 @@ def test_left_join_on_a_subquery_over_both_sides(spark):
     left = spark.createDataFrame([(1, 10), (2, 20), (3, 30)], "id int, x int")
     right = spark.createDataFrame([(10, 5), (10, 6), (20, 7)], "y int, z int")
     some = spark.createDataFrame([(1, 6), (9, 7)], "i int, j int")
-    out = J.left_matching(left, right, "id", F.col("x") == F.col("y"), lambda p: J.exists(p, some, (F.col("i") == F.col("id")) & (F.col("j") == F.col("z"))))
+    out = J.left_matching(left, right, F.col("x") == F.col("y"), lambda p: J.exists(p, some, (F.col("i") == F.col("id")) & (F.col("j") == F.col("z"))))
     assert sorted((r.id, r.z) for r in out.collect() if r.z) == [(1, 6)] and out.count() == 3
 
 
+def test_left_join_on_a_subquery_with_null_and_repeated_rows(spark):
+    left = spark.createDataFrame([(1, 10), (1, 10), (None, 10), (None, None), (2, 20), (2, 20)], "id int, x int")
+    right = spark.createDataFrame([(10, 5), (10, 6), (20, 7)], "y int, z int")
+    some = spark.createDataFrame([(5,), (6,)], "j int")
+    out = J.left_matching(left, right, F.col("x") == F.col("y"), lambda p: J.exists(p, some, F.col("j") == F.col("z")))
+    want = [(1, 10, 5), (1, 10, 5), (1, 10, 6), (1, 10, 6), (None, 10, 5), (None, 10, 6), (None, None, None), (2, 20, None), (2, 20, None)]
+    assert sorted(((r.id, r.x, r.z) for r in out.collect()), key=repr) == sorted(want, key=repr) and out.columns == ["id", "x", "y", "z"]
+
+
+def test_nested_subqueries_name_every_level_before(spark):
+    a = spark.createDataFrame([(1, 1), (2, 1), (3, None), (None, 1)], "a int, x int")
+    b = spark.createDataFrame([(1, 5), (1, 6), (2, 7), (3, 5)], "b int, y int")
+    c = spark.createDataFrame([(5, 1), (6, 2), (7, None)], "c int, z int")
+    levels = [(b, F.col("b") == F.col("a")), (c, (F.col("c") == F.col("y")) & (F.col("z") == F.col("x")))]
+    want = {x for x, k in ((1, 1), (2, 1), (3, None), (None, 1)) if any(p == x and any(q == y and z == k and z is not None for q, z in ((5, 1), (6, 2), (7, None))) for p, y in ((1, 5), (1, 6), (2, 7), (3, 5)))}
+    assert {r.a for r in J.exists_nested(a, ["a", "x"], levels).collect()} == want == {1}
+    assert {r.a for r in J.exists_nested(a, ["a", "x"], levels, negate=True).collect()} == {2, 3, None}
+
+
+def test_subqueries_by_another_comparison(spark):
+    rows = [(1, 1), (1, 2), (2, 5), (2, None), (None, 3), (3, 3)]
+    df, other = spark.createDataFrame(rows, "g int, v int"), spark.createDataFrame([*rows, (2, 1)], "h int, w int")
+    test = {"<>": lambda a, b: a != b, "<": lambda a, b: a < b, ">=": lambda a, b: a >= b, "=": lambda a, b: a == b}
+    for op, f in test.items():
+        want = sorted(r for r in rows if r[0] is not None and r[1] is not None and any(h == r[0] and w is not None and f(r[1], w) for h, w in [*rows, (2, 1)]))
+        assert sorted(map(tuple, Q.exists_where(df, {"g": "h"}, "v", op, other, "w").collect())) == want
+        rest = [tuple(r) for r in Q.exists_where(df, {"g": "h"}, "v", op, other, "w", negate=True).collect()]
+        assert sorted(rest, key=repr) == sorted((r for r in rows if r not in want), key=repr)
+
+
+def test_helper_names_give_way(spark):
+    outer = spark.createDataFrame([(1, 2, 3, 4, 5, 6)], "key0 int, facts int, hit int, value int, n int, v int")
+    inner = spark.createDataFrame([(1, 5)], "b int, n int")
+    for df in (Q.with_in(outer, "y", "n", inner, "n", {"key0": "b"}), Q.with_quantified(outer, "y", "n", ">=", "ALL", inner, "n", {"key0": "b"}), Q.with_scalar(outer, "y", inner, {"key0": "b"}, "n").withColumn("y", F.col("y") == 5)):
+        assert [tuple(r) for r in df.collect()] == [(1, 2, 3, 4, 5, 6, True)] and df.columns == [*outer.columns, "y"]
+    assert J.is_in(outer, "n", inner, "n").columns == J.not_in(outer, "n", inner.where("false"), "n").columns == outer.columns
+
+
+def test_joins_without_an_equality_and_with_a_hot_one(spark):
+    points = spark.createDataFrame([(i, i * 0.5 - 5) for i in range(40)] + [(99, None)], "i int, x double")
+    ranges = spark.createDataFrame([(1, -3.0, 4.0), (2, 1.0, 1.0), (3, 5.0, 2.0), (4, None, 9.0), (5, 14.5, 99.0)], "r int, low double, high double")
+    want = {(i, r) for i, x in [(i, i * 0.5 - 5) for i in range(40)] for r, a, z in ((1, -3, 4), (2, 1, 1), (5, 14.5, 99)) if a <= x <= z}
+    for width in (0.7, 3, 1000):
+        out = J.within(points, ranges, "x", "low", "high", width)
+        rows = [(r.i, r.r) for r in out.collect()]
+        assert set(rows) == want and len(rows) == len(want)
+        plan = out._jdf.queryExecution().toString()
+        assert "Cartesian" not in plan and "NestedLoop" not in plan
+    assert {(r.i, r.r) for r in J.within(points, ranges, "x", "low", "high", 2, "left").collect()} == want | {(i, None) for i in [*range(40), 99] if i not in {w[0] for w in want}}
+    left, right = spark.createDataFrame([(k % 3 or None, k) for k in range(30)], "k int, a int"), spark.createDataFrame([(1, 1), (1, 2), (2, 3), (None, 4)], "j int, b int")
+    for how in ("inner", "left"):
+        plain = left.join(right, F.col("k") == F.col("j"), how)
+        assert sorted(map(repr, J.salted(left, right, "k", "j", 5, how=how).collect())) == sorted(map(repr, plain.collect()))
+
+
 def test_order_puts_null_lowest(spark):
     df = spark.createDataFrame([(1, 2), (2, None), (3, 1)], "id int, v int")
     assert [r.id for r in R.order(df, "v").collect()] == [2, 3, 1]
@@ -123,6 +178,9 @@ def test_aggregates(spark):
     assert [tuple(r) for r in empty] == [(0, None, None)]
     with pytest.raises(AnalysisError, match="unknown column"):
         A.aggregate(df, ["nope"], {"n": A.count_all()})
+    for keys, outputs in ((["g"], {"v": F.col("v")}), ([], {"n": A.count_all(), "g": F.col("g")}), (["g"], {"x": F.col("v") + F.sum("v")})):
+        with pytest.raises(AnalysisError, match="GROUP BY"):
+            A.aggregate(df, keys, outputs)
 
 
 def test_filters_and_columns_reach_the_scan(spark, small):
