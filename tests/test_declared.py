@@ -1,11 +1,13 @@
 import pytest
 from pyspark.sql import functions as F
 
-from spalt.errors import AnalysisError, ConstraintError
+from spalt.errors import AnalysisError, ConstraintError, TypeMismatch, error_code
 from spalt.functions import scalars as S
 from spalt.functions import values as V
+from spalt.operators import relational as R
 from spalt.sources import tables
-from spalt.sources.declared import Rule, add_column, declared, drop_column, rename_column, with_domains
+from spalt.sources.declared import Rule, add_column, alter_domain, declared, drop_column, rename_column, set_default, set_nullable, set_type, with_domains
+from spalt.sources.stored import Stored
 
 
 def rows(df):
@@ -91,6 +93,91 @@ def test_alter(spark):
         declared(Rule("a", "int", auto_increment=True), Rule("b", "int", auto_increment=True))
 
 
+def test_renamed_columns_keep_their_conditions(spark):
+    t = declared(Rule("a", "int", check="a > 0 AND b <> 'a'"), Rule("b", "string"), Rule("c", "int", check="`a` < c"))
+    s = t.insert(t.empty(spark), ["a", "b", "c"], [(1, "x", 5)])
+    s, t = rename_column(s, t, "a", "k")
+    assert rows(t.insert(s, ["k", "b", "c"], [(2, "y", 3)]).where("k = 2")) == [(2, "y", 3)]
+    for bad in ((0, "x", 5), (1, "a", 5), (4, "x", 3)):
+        with pytest.raises(ConstraintError, match="CHECK"):
+            t.insert(s, ["k", "b", "c"], [bad])
+
+
+def test_values_of_the_column_s_kind(spark):
+    t = declared(Rule("d", "double"), Rule("n", "decimal(6,2)"), Rule("i", "int"), Rule("day", "date"), Rule("x", "binary"), Rule("s", "string"))
+    s = t.insert(t.empty(spark), ["d", "n", "i", "day", "x", "s"], [(1, 2, 3.0, "2024-01-02", b"Hi", "t"), (None,) * 6])
+    assert [str(v) for v in rows(s.drop("x"))[0]] == ["1.0", "2.00", "3", "2024-01-02", "t"] and bytes(s.first().x) == b"Hi"
+    for column, value in (("i", 1.5), ("i", "1"), ("d", "x"), ("s", 1), ("i", True)):
+        with pytest.raises(TypeMismatch, match="cannot put this value into"):
+            t.insert(s, [column], [(value,)])
+
+
+def test_added_defaults_are_canonical(spark):
+    t = declared(Rule("a", "int"))
+    s = t.insert(t.empty(spark), ["a"], [(1,)])
+    s, t = add_column(s, t, Rule("u", "string", default="550E8400-E29B-41D4-A716-446655440000", coerce=S.uuid))
+    s, t = add_column(s, t, Rule("d", "double", default=3))
+    assert rows(t.insert(s, ["a"], [(2,)]).orderBy("a")) == [(i, "550e8400-e29b-41d4-a716-446655440000", 3.0) for i in (1, 2)]
+
+
+def test_altered_columns_and_domains(spark):
+    domains = {"positive": ("int", "VALUE > 0 AND VALUES_ <> 1", True, None)}
+    assert with_domains(domains, "n", "positive").domain == "`n` > 0 AND VALUES_ <> 1"
+    t = declared(Rule("a", "int", unique=True, default=1), Rule("n", "int", domain="n > 0"))
+    s = t.insert(t.empty(spark), ["a", "n"], [(1, 5), (2, None)])
+    wide, u = set_type(s, t, "a", "string")
+    assert dict(wide.dtypes)["a"] == "string" and rows(u.insert(wide, ["a"], [("x",)]).where("a = 'x'")) == [("x", None)]
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        set_type(u.insert(wide, ["a"], [("x",)]), u, "a", "int")[0].collect()
+    assert rows(set_default(t, "n", 9).insert(s, ["a"], [(3,)]).where("a = 3")) == [(3, 9)] and set_default(t, "a", None).rule("a").default is None
+    with pytest.raises(ConstraintError, match="NOT NULL"):
+        set_nullable(s, t, "n", False)
+    assert not set_nullable(s, t, "a", False).rule("a").nullable
+    with pytest.raises(ConstraintError, match="DOMAIN n"):
+        alter_domain(s, t, "n", "VALUE > 5")
+    with pytest.raises(ConstraintError, match="DOMAIN n"):
+        alter_domain(s, t, "n", "VALUE < 6").insert(s, ["n"], [(7,)])
+    with pytest.raises(AnalysisError):
+        set_type(s, t, "nope", "int")
+
+
+def test_rows_of_a_frame_are_numbered_in_order(spark):
+    t = declared(Rule("id", "bigint", auto_increment=True, unique=True), Rule("name", "string"), Rule("tag", "string", default="x"))
+    s = t.insert(t.empty(spark), ["id", "name"], [(10, "first")])
+    names = spark.createDataFrame([(f"n{i:04d}",) for i in range(500)], "name string").repartition(7)
+    out = {r.name: (r.id, r.tag) for r in t.insert_from(s, names, ["-name"]).collect()}
+    assert out == {"first": (10, "x"), **{f"n{i:04d}": (510 - i, "x") for i in range(500)}}
+    with pytest.raises(AnalysisError):
+        t.insert_from(s, names)
+    with pytest.raises(ConstraintError, match="UNIQUE"):
+        t.insert_from(s, spark.createDataFrame([(10, "a")], "id long, name string"))
+
+
+def test_stored_tables_write_and_keep_snapshots(spark, tmp_path):
+    t = declared(Rule("id", "int", nullable=False, unique=True), Rule("qty", "int", check="qty >= 0", default=0))
+    empty = Stored.create(spark, t, str(tmp_path))
+    one = empty.insert(["id", "qty"], [(1, 2), (2, 10)])
+    two = one.insert(["id"], [(3,)])
+    assert sorted(rows(two.read())) == [(1, 2), (2, 10), (3, 0)] and len(two.folders) == 2 and rows(empty.read()) == []
+    for bad in ([(3, 1)], [(None, 1)], [(9, -1)]):
+        with pytest.raises(ConstraintError):
+            two.insert(["id", "qty"], bad)
+    three = two.update([("qty", F.col("qty") + 1), ("qty", F.col("qty") + F.col("id"))], F.col("id") == 1).delete(F.col("id") == 2)
+    assert sorted(rows(three.read())) == [(1, 4), (3, 0)] and sorted(rows(one.read())) == [(1, 2), (2, 10)]
+    assert rows(three.replace_all(one.read().where("id = 2")).read()) == [(2, 10)]
+    two.drop(keep=[one])
+    assert sorted(rows(one.read())) == [(1, 2), (2, 10)] and sorted(rows(three.read())) == [(1, 4), (3, 0)]
+
+
+def test_scalars_without_an_order(spark):
+    t = declared(Rule("id", "int"), Rule("payload", "string", coerce=S.json_text, scalar="json"), Rule("at", "string", coerce=S.timestamptz, scalar="timestamptz"))
+    s = t.insert(t.empty(spark), ["id", "payload", "at"], [(1, '{"b":2,"a":1}', "2026-01-01T00:00:00+08:00"), (2, '{"a":1.0,"b":2}', "2025-12-31T15:00:00.1Z")])
+    assert [r.id for r in R.order(s, "at").collect()] == [2, 1] and s.groupBy("payload").count().count() == 1
+    with pytest.raises(TypeMismatch, match="type capability"):
+        R.order(s, "payload")
+    assert error_code(ConstraintError("x")) == "query_error"
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, 'a "b", c'), (2, None), (3, ""), (4, "x" * 80)], "id int, s string").orderBy("id").coalesce(1)
     lines = [r.value for r in tables.csv_lines(df).collect()]
