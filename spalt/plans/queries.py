@@ -16,7 +16,8 @@ from spalt.operators import joins as J
 from spalt.operators import relational as R
 from spalt.operators import subqueries as Q
 from spalt.sources import tables
-from spalt.sources.declared import Rule, add_column, declared, drop_column, rename_column, with_domains
+from spalt.sources.declared import Rule, add_column, alter_domain, declared, drop_column, rename_column, set_default, set_nullable, set_type, with_domains
+from spalt.sources.stored import Stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -117,9 +118,12 @@ def join_theta(spark, d):
 
 @query("SELECT r_name, count(*) AS n, sum(o_totalprice) AS total FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey GROUP BY r_name")
 def join_chain(spark, d):
-    j = J.inner(t(spark, d, "orders", "o_custkey", "o_totalprice"), t(spark, d, "customer", "c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    # summed for each customer before it meets nation and region
+    per = A.aggregate(t(spark, d, "orders", "o_custkey", "o_totalprice"), ["o_custkey"], {"k": A.count_all(), "s": F.sum("o_totalprice")})
+    j = J.inner(per, t(spark, d, "customer", "c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    j = A.aggregate(j, ["c_nationkey"], {"k": F.sum("k"), "s": F.sum("s")})
     j = J.inner(J.inner(j, t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")), t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return A.aggregate(j, ["r_name"], {"n": A.count_all(), "total": F.sum("o_totalprice")})
+    return A.aggregate(j, ["r_name"], {"n": F.sum("k"), "total": F.sum("s")})
 
 
 @query("SELECT a.o_orderkey AS a, b.o_orderkey AS b FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey WHERE a.o_orderkey < b.o_orderkey AND a.o_orderpriority = b.o_orderpriority AND a.o_totalprice > 3 * b.o_totalprice")
@@ -140,12 +144,33 @@ def left_anti_null(spark, d):
 @query("SELECT s_suppkey, c_custkey FROM supplier LEFT JOIN customer ON s_nationkey = c_nationkey AND EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 40 * abs(s_acctbal))")
 def join_on_subquery(spark, d):
     s, c, o = t(spark, d, "supplier", "s_suppkey", "s_nationkey", "s_acctbal"), t(spark, d, "customer", "c_custkey", "c_nationkey"), t(spark, d, "orders", "o_custkey", "o_totalprice")
-    most = o.groupBy("o_custkey").agg(F.max("o_totalprice").alias("most"))
+    # one row for each customer that has an order: the subquery is part of the pairing join
+    most = c.join(o.groupBy("o_custkey").agg(F.max("o_totalprice").alias("most")), F.col("o_custkey") == F.col("c_custkey"))
+    j = J.salted(s, most, "s_nationkey", "c_nationkey", 16, F.col("most") > 40 * F.abs("s_acctbal"), "left")
+    return j.select("s_suppkey", "c_custkey")
 
-    def dear(pairs: DataFrame) -> DataFrame:
-        return J.exists(pairs, most, (F.col("o_custkey") == F.col("c_custkey")) & (F.col("most") > 40 * F.abs("s_acctbal")))
 
-    return J.left_matching(s, c, "s_suppkey", F.col("s_nationkey") == F.col("c_nationkey"), dear).select("s_suppkey", "c_custkey")
+@query("SELECT o_orderkey, l_linenumber FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_quantity > 45 AND EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = l_suppkey AND s_acctbal > 0) AND o_totalprice > 150000")
+def join_left_matching(spark, d):
+    o, li = t(spark, d, "orders", "o_orderkey", "o_totalprice"), t(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity")
+    rich = t(spark, d, "supplier", "s_suppkey", "s_acctbal").where("s_acctbal > 0")
+    keep = lambda pairs: J.exists(pairs.where("l_quantity > 45 AND o_totalprice > 150000"), rich, F.col("s_suppkey") == F.col("l_suppkey"))
+    return J.left_matching(o, li, F.col("l_orderkey") == F.col("o_orderkey"), keep).select("o_orderkey", "l_linenumber")
+
+
+@query("SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_acctbal BETWEEN s_acctbal - 2 AND s_acctbal + 2")
+def join_range(spark, d):
+    """A join without an equality."""
+    s = t(spark, d, "supplier", "s_suppkey", "s_acctbal").select("s_suppkey", (F.col("s_acctbal") - 2).alias("low"), (F.col("s_acctbal") + 2).alias("high"))
+    return J.within(t(spark, d, "customer", "c_custkey", "c_acctbal"), s, "c_acctbal", "low", "high", 4).select("c_custkey", "s_suppkey")
+
+
+@query("SELECT c_nationkey, count(*) AS n, max(o_totalprice) AS hi FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_nationkey")
+def join_salted(spark, d):
+    c, o = t(spark, d, "customer", "c_custkey", "c_nationkey"), t(spark, d, "orders", "o_custkey", "o_totalprice")
+    per = A.aggregate(o, ["o_custkey"], {"k": A.count_all(), "most": F.max("o_totalprice")})
+    j = J.salted(c, per, "c_custkey", "o_custkey", 4, how="left")
+    return A.aggregate(j, ["c_nationkey"], {"n": F.sum(F.coalesce("k", F.lit(1))), "hi": F.max("most")})
 
 
 # Aggregates
@@ -303,9 +328,14 @@ def sub_not_exists(spark, d):
 
 @query("SELECT DISTINCT l1.l_orderkey AS l_orderkey FROM lineitem l1 WHERE EXISTS (SELECT 1 FROM lineitem l2 WHERE l2.l_orderkey = l1.l_orderkey AND l2.l_suppkey <> l1.l_suppkey)")
 def sub_exists_noneq(spark, d):
-    # another supplier exists in the order just if the order has two: one pass instead of pairs of lines
     li = t(spark, d, "lineitem", "l_orderkey", "l_suppkey")
-    return A.aggregate(li, ["l_orderkey"], {"lo": F.min("l_suppkey"), "hi": F.max("l_suppkey")}, having=F.col("lo") < F.col("hi")).select("l_orderkey")
+    return R.distinct(Q.exists_where(li, {"l_orderkey": "l_orderkey"}, "l_suppkey", "<>", li, "l_suppkey"), {"l_orderkey": "l_orderkey"})
+
+
+@query("SELECT c_custkey FROM customer a WHERE NOT EXISTS (SELECT 1 FROM customer b WHERE b.c_nationkey = a.c_nationkey AND b.c_acctbal > a.c_acctbal)")
+def sub_not_exists_less(spark, d):
+    c = t(spark, d, "customer", "c_custkey", "c_nationkey", "c_acctbal")
+    return Q.exists_where(c, {"c_nationkey": "c_nationkey"}, "c_acctbal", "<", c, "c_acctbal", negate=True).select("c_custkey")
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > (SELECT 1.5 * avg(o_totalprice) FROM orders)")
@@ -379,13 +409,13 @@ def all_null(spark, d):
     return Q.with_quantified(n, "w", "n_nationkey", "<=", "ANY", r, "k").select("n_nationkey", "v", "w")
 
 
-@query("SELECT o_orderkey, CASE WHEN m IS NULL THEN TRUE ELSE o_totalprice > m END AS v FROM orders LEFT JOIN (SELECT l_orderkey, max(l_extendedprice) AS m FROM lineitem GROUP BY l_orderkey) x ON l_orderkey = o_orderkey")
+@query("SELECT o_orderkey, o_totalprice > ALL (SELECT l_extendedprice FROM lineitem WHERE l_orderkey = o_orderkey) AS v FROM orders")
 def all_corr(spark, d):
     li = t(spark, d, "lineitem", "l_orderkey", "l_extendedprice")
     return Q.with_quantified(t(spark, d, "orders", "o_orderkey", "o_totalprice"), "v", "o_totalprice", ">", "ALL", li, "l_extendedprice", {"o_orderkey": "l_orderkey"}).select("o_orderkey", "v")
 
 
-@query("SELECT c_custkey, count(o_orderkey) > 0 AND coalesce(bool_or(100 * c_acctbal > o_totalprice), FALSE) AS v FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
+@query("SELECT c_custkey, 100 * c_acctbal > ANY (SELECT o_totalprice FROM orders WHERE o_custkey = c_custkey) AS v FROM customer")
 def any_corr(spark, d):
     o = t(spark, d, "orders", "o_custkey", "o_totalprice")
     c = t(spark, d, "customer", "c_custkey", "c_acctbal").withColumn("x", 100 * F.col("c_acctbal"))
@@ -401,10 +431,23 @@ def sub_in_corr(spark, d):
 
 @query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND EXISTS (SELECT 1 FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_orderkey = o_orderkey AND s_nationkey = c_nationkey))")
 def nested_corr(spark, d):
-    # the innermost reference to customer becomes a join key of the distinct (customer key, nation) that orders can reach
-    li = J.inner(t(spark, d, "lineitem", "l_orderkey", "l_suppkey"), t(spark, d, "supplier", "s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
-    reach = J.inner(t(spark, d, "orders", "o_orderkey", "o_custkey"), li, F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", "s_nationkey")
-    return J.exists(t(spark, d, "customer", "c_custkey", "c_nationkey"), reach, (F.col("o_custkey") == F.col("c_custkey")) & (F.col("s_nationkey") == F.col("c_nationkey"))).select("c_custkey")
+    c, o = t(spark, d, "customer", "c_custkey", "c_nationkey"), t(spark, d, "orders", "o_orderkey", "o_custkey")
+    reach = J.inner(t(spark, d, "lineitem", "l_orderkey", "l_suppkey"), t(spark, d, "supplier", "s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+    lines = R.distinct(reach, {"l_orderkey": "l_orderkey", "s_nationkey": "s_nationkey"})  # before the shuffle, in part
+    levels = [(o, F.col("o_custkey") == F.col("c_custkey")), (lines, (F.col("l_orderkey") == F.col("o_orderkey")) & (F.col("s_nationkey") == F.col("c_nationkey")))]
+    return J.exists_nested(c, ["c_custkey", "c_nationkey"], levels).select("c_custkey")
+
+
+@query("SELECT n_nationkey FROM nation WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal > s_acctbal + 9000 AND EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 40 * s_acctbal AND o_orderstatus = 'F')))")
+def nested_three(spark, d):
+    n, s = t(spark, d, "nation", "n_nationkey"), t(spark, d, "supplier", "s_suppkey", "s_nationkey", "s_acctbal")
+    c, o = t(spark, d, "customer", "c_custkey", "c_nationkey", "c_acctbal"), t(spark, d, "orders", "o_custkey", "o_totalprice", "o_orderstatus").where("o_orderstatus = 'F'")
+    levels = [
+        (s, F.col("s_nationkey") == F.col("n_nationkey")),
+        (c, (F.col("c_nationkey") == F.col("n_nationkey")) & (F.col("c_acctbal") > F.col("s_acctbal") + 9000)),
+        (o, (F.col("o_custkey") == F.col("c_custkey")) & (F.col("o_totalprice") > 40 * F.col("s_acctbal"))),
+    ]
+    return J.exists_nested(n, ["n_nationkey"], levels, negate=True)
 
 
 # Types
@@ -444,19 +487,77 @@ def maybe_group(spark, d):
     return A.aggregate(c, ["m"], {"n": A.count_all()}).select(F.get("m", F.lit(0)).alias("v"), "n")
 
 
-@query(None)
+@query("SELECT c_nationkey, min(c_acctbal > 0) AS lo, max(c_acctbal > 0) AS hi, min([CAST(c_custkey % 7 AS INT), c_nationkey])[1] AS list_lo, max({'a': c_mktsegment, 'b': c_custkey}).b AS tuple_hi FROM customer GROUP BY c_nationkey")
+def min_max_composite(spark, d):
+    pair = C.list_of((F.col("c_custkey") % 7).cast("int"), F.col("c_nationkey"), kind="int")
+    both = C.tuple_of(F.col("c_mktsegment"), F.col("c_custkey"), kinds=["string", "bigint"])
+    rich = F.col("c_acctbal") > 0
+    return A.aggregate(t(spark, d, "customer"), ["c_nationkey"], {"lo": F.min(rich), "hi": F.max(rich), "list_lo": F.min(pair)[0], "tuple_hi": F.max(both)["_2"]})
+
+
+@query("""SELECT '{"k":' || CAST(props->>'$.k' AS VARCHAR) || '}' AS props, count(*) AS n FROM events GROUP BY 1""")
 def scalars_json(spark, d):
     """props as canonical JSON: equal objects are one group."""
     e = t(spark, d, "events", "props").select(S.json_text(F.col("props")).alias("props"))
     return A.aggregate(e, ["props"], {"n": A.count_all()})
 
 
+@query("""SELECT event_id, '{"id":' || event_id || CASE WHEN value = floor(value) THEN ',"v":' || CAST(CAST(value AS BIGINT) AS VARCHAR) WHEN value >= 0.1 AND value < 10000000 THEN ',"v":' || value ELSE ',"v":' || (value * 100)::BIGINT || '.0e-2' END || '}' AS v FROM events WHERE value = floor(value) OR value >= 0.1""")
+def scalars_json_numbers(spark, d):
+    """Keys out of order, a repeated key, and whole numbers that come as 5.0."""
+    e = t(spark, d, "events", "event_id", "value").where("value = floor(value) OR value >= 0.1")
+    text = F.concat(F.lit('{ "v" : '), F.col("value").cast("string"), F.lit(', "id": '), F.col("event_id").cast("string"), F.lit('.000, "v": null }'))
+    return e.select("event_id", S.json_text(text).alias("v"))
+
+
 @query("SELECT strftime(ts, '%H:%M:%S.%f') AS tm, count(*) AS n FROM events GROUP BY tm")
 def scalars_time(spark, d):
     e = t(spark, d, "events", "ts").select(S.time(F.date_format("ts", "HH:mm:ss.SSSSSS")).alias("tm"))
     return A.aggregate(e, ["tm"], {"n": A.count_all()})
 
 
+@query("SELECT o_orderkey, printf('%08x-0000-4000-8000-%012x', o_orderkey, o_custkey) AS v FROM orders")
+def scalars_uuid(spark, d):
+    hexed = lambda c, n: F.lpad(F.hex(c), n, "0")
+    o = t(spark, d, "orders", "o_orderkey", "o_custkey")
+    return o.select("o_orderkey", S.uuid(F.concat(hexed("o_orderkey", 8), F.lit("-0000-4000-8000-"), hexed("o_custkey", 12))).alias("v"))
+
+
+@query("SELECT c_custkey, printf('aa:bb:cc:%02x:%02x:%02x', c_custkey // 65536, c_custkey // 256 % 256, c_custkey % 256) AS v FROM customer")
+def scalars_macaddr(spark, d):
+    byte = lambda n: F.lpad(F.hex((F.floor(F.col("c_custkey") / n) % 256)), 2, "0")
+    return t(spark, d, "customer", "c_custkey").select("c_custkey", S.macaddr(F.concat_ws("-", F.lit("AA"), F.lit("BB"), F.lit("CC"), byte(65536), byte(256), byte(1))).alias("v"))
+
+
+@query("SELECT c_custkey, printf('10.%d.%d.%d', c_custkey // 65536, c_custkey // 256 % 256, c_custkey % 256) AS v4, printf('2001:0db8:0000:0000:0000:0000:%04x:%04x', c_nationkey, c_custkey % 65536) AS v6, printf('10.%d.%d.0/24', c_custkey // 65536, c_custkey // 256 % 256) AS net FROM customer")
+def scalars_network(spark, d):
+    c = t(spark, d, "customer", "c_custkey", "c_nationkey")
+    byte = lambda n: (F.floor(F.col("c_custkey") / n) % 256).cast("string")
+    six = F.concat(F.lit("2001:DB8::"), F.hex("c_nationkey"), F.lit(":"), F.hex(F.col("c_custkey") % 65536))
+    four, net = F.concat_ws(".", F.lit("10"), byte(65536), byte(256), byte(1)), F.concat_ws(".", F.lit("10"), byte(65536), byte(256), F.lit("0/24"))
+    return c.select("c_custkey", S.inet(four).alias("v4"), S.inet(six).alias("v6"), S.cidr(net).alias("net"))
+
+
+@query("SELECT o_orderkey, printf('P%dM%dDT%d.250000S', o_custkey * 12 + 5, o_orderkey // 24, o_orderkey % 24 * 3600) AS v, printf('P0M%dDT0.000000S', 7 * o_orderkey) AS w FROM orders")
+def scalars_interval(spark, d):
+    o = t(spark, d, "orders", "o_orderkey", "o_custkey")
+    text = F.concat(F.lit("P"), F.col("o_custkey"), F.lit("Y5MT"), F.col("o_orderkey"), F.lit("H0.25S"))
+    return o.select("o_orderkey", S.interval(text).alias("v"), S.interval(F.concat(F.lit("P"), F.col("o_orderkey"), F.lit("W"))).alias("w"))
+
+
+@query("SELECT event_id, strftime(ts - INTERVAL 330 MINUTE, '%Y-%m-%dT%H:%M:%S.%fZ') AS v, strftime(ts + INTERVAL 8 HOUR, '%H:%M:%S.%fZ') AS w FROM events")
+def scalars_zoned(spark, d):
+    e, clock = t(spark, d, "events", "event_id", "ts"), F.date_format("ts", "HH:mm:ss.SSSSSS")
+    stamp = F.concat(F.date_format("ts", "yyyy-MM-dd"), F.lit("t"), clock, F.lit("+05:30"))
+    return e.select("event_id", S.timestamptz(stamp).alias("v"), S.timetz(F.concat(clock, F.lit("-08:00"))).alias("w"))
+
+
+@query("SELECT o_orderdate::DATE::VARCHAR AS v, count(*) AS n FROM orders GROUP BY v")
+def scalars_date(spark, d):
+    o = t(spark, d, "orders", "o_orderdate").select(S.date(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("v"))
+    return A.aggregate(o, ["v"], {"n": A.count_all()})
+
+
 # Writes on declared tables, from the given ones
 
 
@@ -482,11 +583,58 @@ def dml_delete(spark, d):
     return table.delete(s, F.col("s_acctbal") < s.agg(F.avg("s_acctbal").alias("a")).scalar())
 
 
-@query("SELECT row_number() OVER () AS id, n_name AS name FROM (SELECT n_name FROM nation WHERE FALSE) UNION ALL SELECT r_regionkey + 1, r_name FROM region")
+@query("SELECT row_number() OVER (ORDER BY r_name) AS id, r_name AS name FROM region")
 def dml_auto_increment(spark, d):
     table = declared(Rule("id", "bigint", auto_increment=True, unique=True), Rule("name", "string"))
-    names = [r[0] for r in R.order(t(spark, d, "region"), "r_regionkey").select("r_name").collect()]  # a VALUES list
-    return table.insert(table.empty(spark), ["name"], [(n,) for n in names])
+    return table.insert_from(table.empty(spark), t(spark, d, "region", "r_name").select(F.col("r_name").alias("name")), ["name"])
+
+
+@query("SELECT row_number() OVER (ORDER BY c_name) AS id, c_name AS name, c_acctbal AS v FROM customer")
+def dml_insert_select(spark, d):
+    """Rows of a DataFrame, numbered where they are."""
+    table = declared(Rule("id", "bigint", auto_increment=True, unique=True), Rule("name", "string", nullable=False), Rule("v", "double"))
+    return table.insert_from(table.empty(spark), t(spark, d, "customer", "c_name", "c_acctbal").select(F.col("c_name").alias("name"), F.col("c_acctbal").alias("v")), ["name"])
+
+
+@query("""SELECT s_suppkey, s_name, CASE WHEN s_acctbal < 0 THEN 0.0 ELSE s_acctbal END AS s_acctbal FROM supplier WHERE s_nationkey <> 3
+    UNION ALL SELECT 100000000 + c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal > 9000 UNION ALL SELECT -1, 'new', 7.0""")
+def dml_stored(spark, d):
+    """INSERT, UPDATE and DELETE that write files; the rows read back from these."""
+    table = declared(Rule("s_suppkey", "bigint", nullable=False, unique=True), Rule("s_name", "string"), Rule("s_acctbal", "double", default=7), Rule("s_nationkey", "int", default=0))
+    s = Stored.create(spark, table).insert_from(t(spark, d, "supplier", "s_suppkey", "s_name", "s_acctbal", "s_nationkey"))
+    s = s.update([("s_acctbal", F.lit(0.0))], F.col("s_acctbal") < 0).delete(F.col("s_nationkey") == 3)
+    rich = t(spark, d, "customer", "c_custkey", "c_name", "c_acctbal").where("c_acctbal > 9000")
+    s = s.insert_from(rich.select((F.col("c_custkey") + 100_000_000).alias("s_suppkey"), F.col("c_name").alias("s_name"), F.col("c_acctbal").alias("s_acctbal")))
+    return s.insert(["s_suppkey", "s_name"], [(-1, "new")]).read().select("s_suppkey", "s_name", "s_acctbal")
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, CAST(p_size AS DOUBLE) AS size, CAST(5 AS DOUBLE) AS extra FROM part UNION ALL SELECT 'x', CAST(1 AS DOUBLE), CAST(6 AS DOUBLE)")
+def ddl_alter_column(spark, d):
+    """Types, defaults and NOT NULL changed; a renamed column keeps its CHECK."""
+    table = declared(Rule("p_partkey", "bigint", unique=True), Rule("p_size", "int", check="p_size > 0 AND p_size < 1000"))
+    state = t(spark, d, "part", "p_partkey", "p_size")
+    state, table = set_type(state, table, "p_partkey", "string")
+    state, table = set_type(state, table, "p_size", "double")
+    state, table = rename_column(state, table, "p_size", "size")
+    state, table = add_column(state, table, Rule("extra", "double", default=5))
+    table = set_default(set_nullable(state, table, "size", False), "extra", 6)
+    try:
+        state = table.insert(state, ["p_partkey", "size"], [("y", 0)])
+    except ConstraintError:
+        state = table.insert(state, ["p_partkey", "size"], [("x", 1)])
+    return state
+
+
+@query("SELECT l_orderkey, l_quantity FROM lineitem")
+def domain_alter(spark, d):
+    """A stricter domain that some rows break is refused, one that all keep is taken."""
+    table = declared(Rule("l_orderkey", "bigint"), with_domains({"positive": ("double", "VALUE > 0", True, None)}, "l_quantity", "positive"))
+    state = t(spark, d, "lineitem", "l_orderkey", "l_quantity")
+    try:
+        table = alter_domain(state, table, "l_quantity", "VALUE > 10")
+    except ConstraintError:
+        table = alter_domain(state, table, "l_quantity", "VALUE > 0 AND VALUE < 1000", nullable=False)
+    return table.validate(state)
 
 
 @query("SELECT r_regionkey AS k, r_name, 'x' AS tag FROM region")
@@ -506,23 +654,22 @@ def domain_check(spark, d):
 
 @query("SELECT s_suppkey, s_acctbal AS before, s_acctbal + 10 AS after FROM supplier WHERE s_nationkey < 5")
 def dml_snapshot(spark, d):
-    """The state that was kept before an update still has the old values."""
-    before = t(spark, d, "supplier", "s_suppkey", "s_nationkey", "s_acctbal")
+    """A stored table's value from before an update still reads the old rows."""
     table = declared(Rule("s_suppkey", "bigint", unique=True), Rule("s_nationkey", "int"), Rule("s_acctbal", "double"))
-    after = table.update(before, [("s_acctbal", F.col("s_acctbal") + 10)], F.col("s_nationkey") < 5)
-    changed = J.inner(before.alias("b"), after.alias("a"), F.col("a.s_suppkey") == F.col("b.s_suppkey")).where("a.s_acctbal <> b.s_acctbal")
+    before = Stored.create(spark, table).insert_from(t(spark, d, "supplier", "s_suppkey", "s_nationkey", "s_acctbal"))
+    after = before.update([("s_acctbal", F.col("s_acctbal") + 10)], F.col("s_nationkey") < 5)
+    changed = J.inner(before.read().alias("b"), after.read().alias("a"), F.col("a.s_suppkey") == F.col("b.s_suppkey")).where("a.s_acctbal <> b.s_acctbal")
     return changed.select("b.s_suppkey", F.col("b.s_acctbal").alias("before"), F.col("a.s_acctbal").alias("after"))
 
 
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL VALUES (100, 'ATLANTIS', 0)")
 def dml_savepoint(spark, d):
-    """A statement that breaks a rule after a savepoint leaves the state of the savepoint."""
-    table = _nations()
-    savepoint = table.insert(t(spark, d, "nation"), ["n_nationkey", "n_name"], [(100, "ATLANTIS")])
+    """A statement that breaks a rule after a savepoint leaves the files of the savepoint."""
+    savepoint = Stored.create(spark, _nations()).insert_from(t(spark, d, "nation")).insert(["n_nationkey", "n_name"], [(100, "ATLANTIS")])
     try:
-        return table.update(savepoint, [("n_nationkey", F.lit(7))])
+        return savepoint.update([("n_nationkey", F.lit(7))]).read()
     except ConstraintError:
-        return savepoint
+        return savepoint.read()
 
 
 # Results as text
