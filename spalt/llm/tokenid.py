@@ -29,13 +29,24 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from spalt.llm import simple8b
-from spalt.llm.common import arrow_batches, materialize, with_text_columns
+from spalt.llm.common import materialize, slices, with_text_columns
 
 #: Words whose ids a worker remembers; beyond it, it starts anew.
 STORE = 600_000
-#: Lower- and upper-case letters of ASCII and Latin-1, one character each in any case and composed already, and other ASCII.
-_PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*")
-_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
+#: Words that the library encodes in one call, a space between them.
+RUN = 1000
+_SPACE, _LETTER, _DIGIT, _MARK, _OTHER = range(5)
+
+
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """Kind of each byte of a lower-case plain text in UTF-8: ASCII, and the letters of Latin-1 that begin with the byte C3."""
+    kinds = np.full(256, _OTHER, np.uint8)
+    kinds[33:127] = _MARK
+    kinds[[0, *range(9, 14), 32]] = _SPACE
+    kinds[list(b"0123456789")] = _DIGIT
+    kinds[[*range(97, 123), *range(0x80, 0xC0), 0xC3]] = _LETTER
+    return kinds
 
 
 class _Places(dict):
@@ -54,9 +65,11 @@ class _Places(dict):
 class WordCodec:
     """Ids of the tokenizers library, found once for each word.
 
-    The file's normaliser and pre-tokenizer never look across ASCII white space. A text of plain characters is cut into
-    lower-case words as the file's own pattern cuts it; any other text at ASCII white space alone, and a text with a
-    special token's string not at all. The library encodes each cut once; what it gave is kept in one flat array.
+    The file's normaliser and pre-tokenizer never look across ASCII white space. Texts of plain characters (_kinds) are
+    cut at once, as arrays of bytes, into the lower-case words of the file's own pattern; their equal words are one entry
+    of an Arrow dictionary. Any other text is cut at ASCII white space alone, and a text with a special token's string not
+    at all. The library encodes each new word once, plain ones in runs that the end-of-word pieces part again; what it
+    gave is kept in one flat array.
     """
 
     def __init__(self, file: str):
@@ -71,36 +84,103 @@ class WordCodec:
         self.cuttable = pattern == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" and kinds == ["NFC", "Replace", "Lowercase"]
         specials = [x["content"] for x in spec.get("added_tokens", [])]
         self.specials = re.compile("|".join(map(re.escape, specials)), re.IGNORECASE) if specials else None
+        self.hints = sorted({x[:2].lower() for x in specials})
+        suffix, vocabulary = spec["model"].get("end_of_word_suffix"), self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # pieces that end a word
+        if suffix:
+            self.last[[i for x, i in vocabulary.items() if x.endswith(suffix)]] = True
         self._forget()
 
     def _forget(self) -> None:
         self.places = _Places()
         self.flat, self.first = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
-    def _cut(self, text: str) -> list:
+    def _numbers(self, words: pa.Array, joined: bool) -> np.ndarray:
+        """The number of each word; the library encodes those that have none yet, in runs if `joined`."""
+        coded = words.dictionary_encode()
+        own = np.fromiter(map(self.places.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False)), np.int64, len(coded.dictionary))
+        new, self.places.new = self.places.new, []
+        if new:
+            ids, sizes = self._look_up(new, joined)
+            self.flat = np.concatenate((self.flat, ids))
+            self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(sizes)))
+        return own[coded.indices.to_numpy()]
+
+    def _look_up(self, words: list[str], joined: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the words, how many each has)."""
+        if joined:
+            runs = [" ".join(words[i : i + RUN]) for i in range(0, len(words), RUN)]
+            ids = np.array(list(chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False))), np.int32)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(words) and ends[-1] == len(ids):
+                return ids, np.diff(ends, prepend=0)
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.array(list(chain.from_iterable(found)), np.int32), np.array(list(map(len, found)), np.int64)
+
+    def _cut_plain(self, low: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """(words of all texts, how many each has, numbers of texts that aren't plain, whose words are wrong); no text has a NUL."""
+        data = np.frombuffer(("\0".join(low) + "\0\0\0").encode(), np.uint8)  # room to look ahead
+        kind = _kinds()[data]
+        starts = np.concatenate((np.zeros(1, np.int64), np.flatnonzero(data[:-3] == 0) + 1))
+        sign = np.flatnonzero((data == 0x97) | (data == 0xB7))
+        odd = np.concatenate((np.flatnonzero(kind == _OTHER), sign[data[sign - 1] == 0xC3]))  # C3 97 and C3 B7 are no letters
+        start = np.ones(len(data), bool)
+        np.not_equal(kind[1:], kind[:-1], out=start[1:])
+        start |= kind == _DIGIT
+        quote = np.flatnonzero(start & (data == 39))
+        quote = quote[kind[quote + 1] == _LETTER]
+        one, two = data[quote + 1], data[quote + 2]
+        long = ((one == ord("r")) & (two == ord("e"))) | ((one == ord("v")) & (two == ord("e"))) | ((one == ord("l")) & (two == ord("l")))
+        size = np.where(np.isin(one, list(b"stmd")), 2, np.where(long, 3, 0))
+        quote, size = quote[size > 0], size[size > 0]
+        start[quote + 1] = False
+        start[quote + size] = True
+        word = kind != _SPACE
+        start &= word
+        first = np.flatnonzero(start[word]).astype(np.int32)
+        packed = data[word]
+        words = pa.StringArray.from_buffers(len(first), pa.py_buffer(np.append(first, np.int32(len(packed)))), pa.py_buffer(packed))
+        counts = np.diff(np.searchsorted(np.flatnonzero(start), np.append(starts, len(data))))
+        return words, counts, np.unique(np.searchsorted(starts, odd, side="right") - 1)
+
+    def _cut(self, text: str) -> list[str]:
         if not self.cuttable or (self.specials and self.specials.search(text)):
             return [text]
-        if _PLAIN.fullmatch(text):
-            return _PARTS.findall(text.lower())
         return [b.decode() for b in text.encode().split()]  # bytes: ASCII white space alone
 
+    def _words(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of the words of all texts, how many each text has)."""
+        low = [t.lower() for t in texts]
+        rest = [i for i, t in enumerate(low) if not self.cuttable or "\0" in t or any(h in t for h in self.hints)]
+        plain = sorted(set(range(len(texts))) - set(rest)) if rest else list(range(len(texts)))
+        if plain:
+            words, counts, odd = self._cut_plain([low[i] for i in plain])
+            if len(odd):
+                rest = sorted([*rest, *(plain[i] for i in odd.tolist())])
+                plain = sorted(set(plain) - set(rest))
+                words, counts, _ = self._cut_plain([low[i] for i in plain]) if plain else (pa.array([], pa.string()), np.zeros(0, np.int64), None)
+            numbers = self._numbers(words, True)
+            if not rest:
+                return numbers, counts
+        else:
+            numbers, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        cut = [self._cut(texts[i]) for i in rest]
+        numbers = np.concatenate((numbers, self._numbers(pa.array(list(chain.from_iterable(cut)), pa.string()), False)))
+        of = np.concatenate((np.array(plain, np.int64), np.array(rest, np.int64)))
+        sizes = np.concatenate((counts, np.array(list(map(len, cut)), np.int64)))
+        order = np.argsort(np.repeat(of, sizes), kind="stable")
+        return numbers[order], sizes[np.argsort(of)]
+
     def encode_flat(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, how many each text has)."""
         if len(self.places) > STORE:
             self._forget()
-        cut = [self._cut(t) for t in texts]
-        words = np.fromiter(map(self.places.__getitem__, chain.from_iterable(cut)), np.int64)
-        if self.places.new:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(self.places.new, add_special_tokens=False)]
-            self.places.new = []
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))))
-            self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(sizes)))
+        words, counts = self._words(texts)
         begin = self.first[words]
         size = self.first[words + 1] - begin
         ends = np.cumsum(size)
         out = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - size), size)]
-        upto = np.concatenate((np.zeros(1, np.int64), ends))[np.cumsum([0, *map(len, cut)])]
+        upto = np.concatenate((np.zeros(1, np.int64), ends))[np.cumsum(np.concatenate((np.zeros(1, np.int64), counts)))]
         return out, np.diff(upto)
 
     def encode(self, texts: Sequence[str]) -> list[list[int]]:
@@ -130,9 +210,7 @@ def write_token_files(docs: DataFrame, file: str, end_id: int, name: str = "toke
 
     def run(batches):
         codec, first = word_codec(file), 0
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in (part for whole in batches for part in slices(whole, 1)):
             ids, sizes = codec.encode_flat([t or "" for t in b.column(1).to_pylist()])
             flat = np.insert(ids.astype(np.int64), np.cumsum(sizes), end_id)
             lengths = (sizes + 1).tolist()
@@ -142,7 +220,6 @@ def write_token_files(docs: DataFrame, file: str, end_id: int, name: str = "toke
             )
             first += len(flat)
 
-    arrow_batches(docs.sparkSession)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("h"))
     dealt = keyed.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("h")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h")
     return materialize(dealt.select("doc_id", "text", F.spark_partition_id().alias(slot)).mapInArrow(run, ROW), name)

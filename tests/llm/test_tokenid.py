@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -33,6 +34,15 @@ def test_ids_are_the_library_s():
     assert codec.encode(TEXTS) == [e.ids for e in library.encode_batch(TEXTS, add_special_tokens=False)]
 
 
+def test_ids_of_random_mixes():
+    r = random.Random(3)
+    codec, library = tokenid.WordCodec(FILE), Tokenizer.from_file(FILE)
+    pieces = [*"abcdst vrelm'''  \n\t0129.,-!×÷àßÿÉÀ\x1f\0é", "'re", "'ll", "'ve", "'s", "<|", "|>", "<|endoftext|>", "ΣΑΣ", "İ", "ẞ", "\u212a", "\u212b", "日本", "x\u0301"]
+    for _ in range(300):
+        texts = ["".join(r.choices(pieces[: r.choice((30, 100))], k=r.randrange(40))) for _ in range(r.randrange(1, 12))]
+        assert codec.encode(texts) == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
 def expected(rows):
     library, out, at = Tokenizer.from_file(FILE), [], 0
     for d, t in rows:
