@@ -1,24 +1,30 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment (operator 10).
 
-Words are runs of characters other than ASCII white space and punctuation, lower-cased. A first pass counts the words
-of the test items over all documents. A 3-gram of an item is a rare seed if its words, taken as independent, would meet
-at a rate of RARE or less; rarity comes from single words, so an item that leaked into a third of the documents
-keeps its seeds. An item with fewer than LEAST rare seeds uses its LEAST rarest. The second pass finds seeds in every
-text, gathers the hits of an item that lie close together into a passage, drops passages that can't reach the threshold
-even if all their words of the item aligned, and aligns the rest: match +2, mismatch and gap -1, best local score
-over twice the item's length is the similarity.
-
-Test items go to the tasks in blocks of about BLOCK_CHARS characters, however many items there are; one block is all
-that is broadcast at a time. Each text is read whole in one task with nothing shuffled but word counts.
+Words are runs of characters other than ASCII white space and punctuation, lower-cased; of scripts that put no spaces
+between words each character is one. A first pass counts the words of the test items over all documents. A 3-gram of an
+item is a rare seed if its words, taken as independent, would meet at a rate of RARE or less; rarity comes from single
+words, so an item that leaked into a third of the documents keeps its seeds. An item with fewer than LEAST rare seeds uses
+its LEAST rarest. The second pass joins the documents' 3-grams to the seeds. Hits of an item that lie close together in a
+text make a passage; passages that can't reach the threshold even if all their words of the item aligned are dropped, and
+the others are joined to their items and aligned: match +2, mismatch and gap -1, best local score over twice the item's
+length is the similarity.
+
+Everything is keyed by 64-bit hashes of words and of 3-grams and joined by Spark, however many items there are; what is
+broadcast are two bit filters (of the items' words, of the seeds) of FILTER_BITS bits at most, which only save work: what
+they let pass is joined. An alignment that reaches the threshold spans less than three times its item, so a long passage is
+aligned in windows of six items' lengths, three apart, with two rows of scores at a time: memory follows the item, not the
+text. Texts meet their hits in merge joins, at every size. A text's hits are one group, in proportion to its words; a seed that many texts hold meets its few items in a join
+whose large partitions AQE can split.
 
 Defined results: a null text or item is empty and matches nothing; items of fewer than three words have no seeds and
-match nothing; of several passages the most similar counts, on ties the first; repeated rows give repeated results;
-empty tables give empty results; other columns stay out of the way.
+match nothing; of several passages the most similar counts, on ties the first; equal items count once; repeated rows give
+repeated results, a null doc_id is like any other; empty tables give empty results; other columns stay out of the way.
 """
 
 from __future__ import annotations
 
-from itertools import repeat
+import re
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -26,210 +32,259 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spalt.llm.common import fresh, with_text_columns
+from spalt.llm.common import fresh, materialize, run_hashes, slices, with_row_key, word_hashes
 
 GRAM = 3
 RARE = 1e-8
 LEAST = 4
 THRESHOLD = 0.5
-BLOCK_CHARS = 4_000_000
 MATCH, MISS = 2, 1
+#: Bits for each key of a filter, and bits of a filter at most.
+KEY_BITS, FILTER_BITS = 32, 1 << 30
 _SPACE = bytes(32 if not (chr(i).isalnum() or i >= 128) else i for i in range(256))
+_WORD = np.frombuffer(_SPACE, np.uint8) != 32
+#: Blocks of scripts without spaces between words (Thai to Myanmar, kana, Han).
+_UNSPACED = re.compile("([฀-႟぀-ヿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff])")
+
+
+def plain(text: str | None) -> bytes:
+    text = (text or "").lower()
+    return (text if text.isascii() else _UNSPACED.sub(r" \1 ", text)).encode()
 
 
 def words(text: str | None) -> list[bytes]:
-    return (text or "").lower().encode().translate(_SPACE).split()
-
-
-class Items:
-    """A block of test items: their words as numbers from 1, and where their seeds are found."""
-
-    def __init__(self, rows: list[tuple]):
-        self.keys = [k for k, _ in rows]
-        self.vocabulary: dict[bytes, int] = {}
-        number = lambda w: self.vocabulary.setdefault(w, len(self.vocabulary) + 1)
-        self.items = [np.array([number(w) for w in words(t)], np.int64) for _, t in rows]
-
-    def seed(self, counts: np.ndarray, total: int) -> None:
-        """counts: occurrences of each number in the corpus of `total` words."""
-        rate = np.log(np.maximum(counts, 0.5) / max(total, 1))
-        base, seeds = len(self.vocabulary) + 1, []
-        for i, w in enumerate(self.items):
-            if len(w) < GRAM:
-                continue
-            n = len(w) - GRAM + 1
-            gram = np.zeros(n, np.int64)
-            chance = np.zeros(n)
-            for k in range(GRAM):
-                gram = gram * base + w[k : k + n]
-                chance += rate[w[k : k + n]]
-            rare = chance <= np.log(RARE)
-            if rare.sum() < LEAST:
-                rare = np.zeros(n, bool)
-                rare[np.argsort(chance, kind="stable")[:LEAST]] = True
-            seeds += [(g, i) for g in np.unique(gram[rare]).tolist()]
-        seeds.sort()
-        self.base = base
-        grams = np.array([g for g, _ in seeds], np.int64)
-        self.grams, first = np.unique(grams, return_index=True)
-        self.first = np.append(first, len(seeds))
-        self.of = [i for _, i in seeds]
+    return plain(text).translate(_SPACE).split()
+
+
+def hashed(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    return word_hashes([plain(t) for t in texts], _WORD)
+
+
+class Filter:
+    """Bits of keys: two for each. Never lacks a key; has some others."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+
+    @staticmethod
+    def places(size: int):
+        """The two places of a column `key` in a filter of `size` bits, a power of two."""
+        return F.array(F.col("key").bitwiseAND(F.lit(size - 1)), F.shiftrightunsigned("key", 34).bitwiseAND(F.lit(size - 1)))
+
+    @classmethod
+    def of(cls, keys: DataFrame) -> Filter:
+        """Of distinct keys: Spark sets the bits of each 64-bit word; the words are what reaches the driver."""
+        size = 64
+        while size < min(FILTER_BITS, KEY_BITS * keys.count()):
+            size *= 2
+        at = keys.select(F.explode(cls.places(size)).alias("at"))
+        one = F.expr("shiftleft(CAST(1 AS BIGINT), CAST(at & 63 AS INT))")
+        rows = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(one).alias("bits")).toArrow()
+        bits = np.zeros(size // 64, np.int64)
+        bits[rows["word"].to_numpy()] = rows["bits"].to_numpy()
+        return cls(bits.view(np.uint64))
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        size = np.uint64(64 * len(self.bits) - 1)
+        out = np.ones(len(keys), bool)
+        for at in (keys & size, keys >> np.uint64(34) & size):
+            out &= (self.bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return out
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
-    """Best local score of the item in the passage, and the passage's words [begin, end) that it covers."""
-    n, m = len(item), len(passage)
-    h = np.zeros((n + 1, m + 1), np.int32)
-    step = np.arange(m + 1, dtype=np.int32) * MISS
-    for i in range(1, n + 1):
-        best = np.maximum(h[i - 1, :-1] + np.where(passage == item[i - 1], MATCH, -MISS), h[i - 1, 1:] - MISS)
-        row = np.concatenate((np.zeros(1, np.int32), np.maximum(best, 0)))
-        h[i] = np.maximum.accumulate(row + step) - step  # gaps in the item, from any earlier column
-    i, j = np.unravel_index(int(np.argmax(h)), h.shape)
-    score, end = int(h[i, j]), int(j)
-    while i and j and h[i, j] > 0:
-        if h[i, j] == h[i - 1, j - 1] + (MATCH if passage[j - 1] == item[i - 1] else -MISS):
-            i, j = i - 1, j - 1
-        elif h[i, j] == h[i - 1, j] - MISS:
-            i -= 1
-        else:
-            j -= 1
-    return score, int(j), end
-
-
-def matches(ids: np.ndarray, hits: np.ndarray, gram_at: np.ndarray, items: Items, threshold: float) -> list[tuple]:
-    """(item number, similarity, begin word, end word) of one text; ids are its words, hits where its seeds begin."""
-    by_item: dict[int, list[int]] = {}
-    for at, g in zip(hits.tolist(), gram_at.tolist(), strict=True):
-        for i in items.of[items.first[g] : items.first[g + 1]]:
-            by_item.setdefault(i, []).append(at)
-    out = []
-    for i, places in sorted(by_item.items()):
-        item, best = items.items[i], None
-        n, need = len(item), threshold * MATCH * len(item)
-        own = np.bincount(item)
-        begin = 0
-        for k in range(1, len(places) + 1):
-            if k < len(places) and places[k] - places[k - 1] <= 2 * n:
-                continue
-            low, high = max(0, places[begin] - 2 * n), min(len(ids), places[k - 1] + GRAM + 2 * n)
-            begin = k
-            passage = ids[low:high]
-            there = np.bincount(passage[passage < len(own)], minlength=len(own))[: len(own)]
-            there[0] = 0
-            if MATCH * int(np.minimum(own, there).sum()) < need:
-                continue
-            score, a, b = align(item, passage)
-            if score >= need and (best is None or score > best[0]):
-                best = (score, low + a, low + b)
-        if best:
-            out.append((i, best[0] / (MATCH * n), best[1], best[2]))
-    return out
-
-
-def blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS):
-    """Lists of (item_id, text), about block_chars long each."""
-    items = benchmark.select(F.col("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, -(-chars // block_chars))
-    for k in range(n):
-        yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()]
-
-
-def numbered(texts: list, vocabulary: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Word numbers of all texts (0: in no item), two zeros after each text, and where each text begins."""
-    parts, starts, at = [], [], 0
-    get = vocabulary.get
-    for t in texts:
-        w = words(t)
-        parts.append(np.fromiter(map(get, w, repeat(0)), np.int64, len(w)))
-        parts.append(np.zeros(GRAM - 1, np.int64))
-        starts.append(at)
-        at += len(w) + GRAM - 1
-    return np.concatenate(parts) if parts else np.zeros(0, np.int64), np.array([*starts, at], np.int64)
-
-
-def count_words(docs: DataFrame, items: Items) -> tuple[np.ndarray, int]:
-    """Occurrences of each number over all documents, and all words; summed by Spark, one row for each word of the block."""
-    spark = docs.sparkSession
-    vocabulary = spark.sparkContext.broadcast(items.vocabulary)  # of one block
-
-    def run(batches):
-        counts, total = np.zeros(len(vocabulary.value) + 1, np.int64), 0
+    """Best local score of the item in the passage, and the passage's words [begin, end) that it covers.
+
+    A cell holds the score in its upper half and the first column of its alignment below, so two rows are enough.
+    """
+    m, unit = len(passage), 1 << 32
+    column = np.arange(m + 1, dtype=np.int64)
+    step = column * (MISS * unit)
+    above, best = column.copy(), (0, 0, 0)
+    for word in item.tolist():
+        row = np.maximum(above[:-1] + np.where(passage == word, MATCH, -MISS) * unit, above[1:] - MISS * unit)
+        row = np.concatenate((column[:1], np.maximum(row, column[1:])))  # score 0 begins anew
+        above = np.maximum.accumulate(row + step) - step  # gaps in the item, from any earlier column
+        above = np.maximum(above, column)
+        at = int(np.argmax(above >> 32))
+        score = int(above[at]) >> 32
+        if score > best[0]:
+            best = (score, int(above[at]) & (unit - 1), at)
+    return best
+
+
+def similarity(item: np.ndarray, passage: np.ndarray, threshold: float) -> tuple[float, int, int] | None:
+    """The best alignment of the item in the passage, if it reaches the threshold."""
+    n, best = len(item), None
+    need = threshold * MATCH * n
+    kinds, own = np.unique(item, return_counts=True)
+    for low in range(0, max(1, len(passage) - 3 * n), 3 * n):
+        part = passage[low : low + 6 * n]
+        at = np.minimum(np.searchsorted(kinds, part), len(kinds) - 1)
+        there = np.bincount(at[kinds[at] == part], minlength=len(kinds))
+        if MATCH * int(np.minimum(own, there).sum()) < need:
+            continue
+        score, a, b = align(item, part)
+        if score >= need and (best is None or score > best[0]):
+            best = (score, low + a, low + b)
+    return best and (best[0] / (MATCH * n), best[1], best[2])
+
+
+def item_words(benchmark: DataFrame) -> DataFrame:
+    """(item, item_id, hashes): distinct items of GRAM words and more, numbered."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, 1):
+                hashes, starts = hashed(b.column(1).to_pylist())
+                lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(hashes.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column(0), lists], ["item_id", "hashes"])
+
+    kind = T.StructType([T.StructField("item_id", benchmark.schema["item_id"].dataType), T.StructField("hashes", T.ArrayType(T.LongType()))])
+    items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("text IS NOT NULL").distinct().mapInArrow(run, kind)
+    items = items.where(F.size("hashes") >= GRAM).distinct()
+    return materialize(items.select(F.monotonically_increasing_id().alias("item"), "item_id", "hashes"), "items")
+
+
+def count_words(docs: DataFrame, vocabulary: DataFrame) -> tuple[DataFrame, int]:
+    """((key, n): occurrences over all documents of the keys and some others, all words). Tasks sum their own counts first."""
+    held = docs.sparkSession.sparkContext.broadcast(Filter.of(vocabulary))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, keys, counts = 0, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["key", "n"])
+
+        for whole in batches:
+            for b in slices(whole, 0):
+                hashes, _ = hashed(b.column(0).to_pylist())
+                total += len(hashes)
+                new, n = np.unique(hashes, return_counts=True)
+                known = held.value.has(new)
+                both, own = np.unique(np.concatenate((keys, new[known])), return_inverse=True)
+                keys, counts = both, np.bincount(own, np.concatenate((counts, n[known])), len(both)).astype(np.int64)
+                if len(keys) > 1_000_000:
+                    yield rows()
+                    keys, counts = keys[:0], counts[:0]
+        yield rows()
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total], pa.int64())], ["key", "n"])
+
+    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    counted = materialize(counted, "counts")
+    total = counted.where("key IS NULL").first()
+    return counted.where("key IS NOT NULL"), total["n"] if total else 0
+
+
+def rare_seeds(items: DataFrame, counts: DataFrame, total: int) -> DataFrame:
+    """(key, item, n): the seeds of each item, and its words."""
+    each = items.select("item", F.posexplode("hashes").alias("at", "key")).join(counts, "key", "left")
+    lists = each.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("at", "key", F.coalesce("n", F.lit(0)).alias("n")))).alias("w"))
+    lists = lists.select("item", F.transform("w", lambda x: x["key"]).alias("hashes"), F.transform("w", lambda x: x["n"].cast("double")).alias("counts"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for item, hashes, seen in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                rate = np.log(np.maximum(np.array(seen), 0.5) / max(total, 1))
+                grams = run_hashes(np.array(hashes, np.int64).view(np.uint64), GRAM)
+                chance = sum(rate[k : k + len(grams)] for k in range(GRAM))
+                rare = chance <= np.log(RARE)
+                if rare.sum() < LEAST:
+                    rare = np.zeros(len(grams), bool)
+                    rare[np.argsort(chance, kind="stable")[:LEAST]] = True
+                found = np.unique(grams[rare]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), item, np.int64)), pa.array(np.full(len(found), len(hashes), np.int32))], ["key", "item", "n"])
+
+    return materialize(lists.mapInArrow(run, "key long, item long, n int"), "seeds")
+
+
+def hits(docs: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(row, item, n, at): where the texts of docs (row, text) hold a seed of an item."""
+    held = docs.sparkSession.sparkContext.broadcast(Filter.of(seeds.select("key").distinct()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, 1):
+                hashes, starts = hashed(b.column(1).to_pylist())
+                grams = run_hashes(hashes, GRAM)
+                at = np.flatnonzero(held.value.has(grams))
+                doc = np.searchsorted(starts, at, side="right") - 1
+                inside = at + GRAM <= starts[doc + 1]
+                at, doc = at[inside], doc[inside]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc)), pa.array(grams[at].view(np.int64)), pa.array(at - starts[doc])], ["row", "key", "at"])
+
+    kind = T.StructType([docs.schema["row"], T.StructField("key", T.LongType()), T.StructField("at", T.LongType())])
+    met = docs.select("row", F.col("text").cast("string").alias("text")).mapInArrow(run, kind)
+    return met.join(seeds, "key").select("row", "item", "n", "at")
+
+
+def passages(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """(row, item, low, part): the words of docs (row, text) about each run of hits of an item, from word `low` on."""
+    lists = found.groupBy("row").agg(F.collect_list(F.struct("item", "at", "n")).alias("met")).withColumnRenamed("row", "own")
+    whole = docs.join(lists, F.col("row") == F.col("own")).select("row", F.col("text").cast("string").alias("text"), "met")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                hashes, _ = hashed([b.column(1)[i].as_py()])
+                met = b.column(2)[i].values
+                item, at, n = (met.field(c).to_numpy() for c in ("item", "at", "n"))
+                order = np.lexsort((at, item))
+                item, at, n = item[order], at[order], n[order]
+                new = np.ones(len(item), bool)
+                new[1:] = (item[1:] != item[:-1]) | (at[1:] - at[:-1] > 2 * n[1:])
+                first = np.flatnonzero(new)
+                last = np.append(first[1:], len(item)) - 1
+                low = np.maximum(0, at[first] - 2 * n[first])
+                high = np.minimum(len(hashes), at[last] + GRAM + 2 * n[first])
+                parts = [hashes[a:z].view(np.int64) for a, z in zip(low.tolist(), high.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.full(len(first), i))), pa.array(item[first]), pa.array(low), pa.array(parts, pa.list_(pa.int64()))], ["row", "item", "low", "part"])
+
+    kind = T.StructType([docs.schema["row"], T.StructField("item", T.LongType()), T.StructField("low", T.LongType()), T.StructField("part", T.ArrayType(T.LongType()))])
+    return whole.mapInArrow(run, kind)
+
+
+def aligned(parts: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
+    """(row, item_id, similarity, begin_word, end_word): each text's best passage of each item, if it reaches the threshold."""
+    both = parts.join(items, "item").select("row", "item", "item_id", "low", "part", "hashes")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, starts = numbered(b.column(0).to_pylist(), vocabulary.value)
-            counts += np.bincount(ids, minlength=len(counts))
-            total += len(ids) - (GRAM - 1) * (len(starts) - 1)
-        counts[0] = total
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["word", "n"])
-
-    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(len(items.vocabulary) + 1, np.int64)
-    for r in rows:
-        counts[r["word"]] = r["n"]
-    total, counts[0] = int(counts[0]), 0
-    return counts, total
-
-
-def _search(docs: DataFrame, items: Items, threshold: float, field: T.StructField) -> DataFrame:
-    """docs and an array of (item number, similarity, begin word, end word), null where nothing matches."""
-    held = docs.sparkSession.sparkContext.broadcast(items)  # of one block
-
-    def make():
-        items = held.value
-
-        def compute(texts: list) -> list:
-            ids, starts = numbered(texts, items.vocabulary)
-            out: list = [None] * len(texts)
-            n = len(ids) - GRAM + 1
-            if n <= 0 or not len(items.grams):
-                return [out]
-            gram, known = np.zeros(n, np.int64), np.ones(n, bool)
-            for k in range(GRAM):
-                gram = gram * items.base + ids[k : k + n]
-                known &= ids[k : k + n] > 0
-            places = np.flatnonzero(known)
-            at = np.minimum(np.searchsorted(items.grams, gram[places]), len(items.grams) - 1)
-            real = items.grams[at] == gram[places]
-            places, at = places[real], at[real]
-            doc = np.searchsorted(starts, places, side="right") - 1
-            cuts = np.flatnonzero(np.diff(doc)) + 1
-            for p, a in zip(np.split(places, cuts), np.split(at, cuts), strict=True):
-                if len(p):
-                    d = int(np.searchsorted(starts, p[0], side="right")) - 1
-                    found = matches(ids[starts[d] : starts[d + 1] - GRAM + 1], p - starts[d], a, items, threshold)
-                    out[d] = [{"item": i, "similarity": s, "begin": x, "end": y} for i, s, x, y in found] or None
-            return [out]
-
-        return compute
-
-    return with_text_columns(docs, [field], make)
-
-
-KIND = T.ArrayType(T.StructType([T.StructField("item", T.IntegerType()), T.StructField("similarity", T.DoubleType()), T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())]))
+            rows, out = [], []
+            for i in range(b.num_rows):
+                part, item = (b.column(c)[i].values.to_numpy() for c in (4, 5))
+                best = similarity(item, part, threshold)
+                if best:
+                    rows.append(i)
+                    low = b.column(3)[i].as_py()
+                    out.append((best[0], low + best[1], low + best[2]))
+            columns = [b.column(c).take(pa.array(rows, pa.int64())) for c in (0, 1, 2)]
+            values = list(zip(*out, strict=True)) if out else [(), (), ()]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(v, k) for v, k in zip(values, (pa.float64(), pa.int64(), pa.int64()), strict=True))], ["row", "item", "item_id", "similarity", "begin_word", "end_word"])
+
+    kind = T.StructType([*(both.schema[c] for c in ("row", "item", "item_id")), T.StructField("similarity", T.DoubleType()), T.StructField("begin_word", T.LongType()), T.StructField("end_word", T.LongType())])
+    best = F.max(F.struct("similarity", (-F.col("begin_word")).alias("first"), "end_word", "item_id")).alias("best")
+    found = both.mapInArrow(run, kind).groupBy("row", "item").agg(best)
+    return found.select("row", "best.item_id", "best.similarity", (-F.col("best.first")).alias("begin_word"), "best.end_word")
+
+
+def found_items(docs: DataFrame, benchmark: DataFrame, threshold: float) -> DataFrame:
+    """aligned() over docs (row, text), written once."""
+    items = item_words(benchmark)
+    counts, total = count_words(docs, items.select(F.explode("hashes").alias("key")).distinct())
+    found = materialize(hits(docs, rare_seeds(items, counts, total)), "hits")
+    return materialize(aligned(passages(docs, found), items, threshold), "found")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, similarity, begin_word, end_word): the documents' passages that hold a copy, maybe edited, of an item."""
-    docs = docs.select("doc_id", "text")
-    out = None
-    for rows in blocks(benchmark):
-        items = Items(rows)
-        items.seed(*count_words(docs, items))
-        keys = docs.sparkSession.createDataFrame([(i, k) for i, k in enumerate(items.keys)], T.StructType([T.StructField("item", T.IntegerType()), T.StructField("item_id", benchmark.schema["item_id"].dataType)]))
-        found = _search(docs, items, threshold, T.StructField("m", KIND)).where("m IS NOT NULL").select("doc_id", F.explode("m").alias("m"))
-        found = found.select("doc_id", "m.item", "m.similarity", F.col("m.begin").alias("begin_word"), F.col("m.end").alias("end_word"))
-        part = found.join(F.broadcast(keys), "item").select("doc_id", "item_id", "similarity", "begin_word", "end_word")  # keys: of one block
-        out = part if out is None else out.unionByName(part)
-    return out
+    keyed = with_row_key(docs.select("doc_id", "text"), "row").select("row", "text")
+    return found_items(keyed, benchmark, threshold).select("row.doc_id", "item_id", "similarity", "begin_word", "end_word")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that hold no test item, with the columns of docs."""
-    slot, left = fresh("m", docs), docs
-    for rows in blocks(benchmark):
-        items = Items(rows)
-        items.seed(*count_words(docs, items))
-        left = _search(left, items, threshold, T.StructField(slot, KIND)).where(F.col(slot).isNull()).drop(slot)
-    return left
+    row, out = fresh("row", docs), fresh("out", docs)
+    keyed = with_row_key(docs, row)
+    found = found_items(keyed.select(F.col(row).alias("row"), "text"), benchmark, threshold)
+    return keyed.join(found.select(F.col("row").alias(out)).distinct(), F.col(row) == F.col(out), "left_anti").drop(row)

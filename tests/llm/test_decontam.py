@@ -73,15 +73,48 @@ def test_planted_passages_and_clean_texts(spark, documents):
     assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == set(range(len(texts))) - {d for d, _ in want}
 
 
-def test_blocks_give_the_same(spark, documents, monkeypatch):
+def test_filters_of_any_size_give_the_same(spark, documents, monkeypatch):
     items, texts = corpus()
     benchmark = spark.createDataFrame(list(enumerate(items)), "item_id int, text string")
     one = sorted((r.doc_id, r.item_id, r.similarity) for r in decontam.contaminated(documents(texts), benchmark).collect())
-    monkeypatch.setattr(decontam.blocks, "__defaults__", (400,))
-    assert len(list(decontam.blocks(benchmark))) > 2
+    monkeypatch.setattr(decontam, "FILTER_BITS", 64)  # lets all pass
     assert sorted((r.doc_id, r.item_id, r.similarity) for r in decontam.contaminated(documents(texts), benchmark).collect()) == one
 
 
+def test_windows_and_memory():
+    r = np.random.default_rng(5)
+    item = r.integers(0, 60, 12)
+    for _ in range(30):
+        part = r.integers(0, 60, 300)
+        at = r.integers(0, 280)
+        part[at : at + 12] = item[: len(part[at : at + 12])]
+        got = decontam.similarity(item, part, 0.5)
+        assert got and got[0] == decontam.align(item, part)[0] / 24
+    import tracemalloc
+
+    long = np.tile(np.arange(2000), 60)
+    tracemalloc.start()
+    assert decontam.similarity(np.arange(2000), long, 0.5) == (1.0, 0, 2000)
+    assert tracemalloc.get_traced_memory()[1] < 20_000_000
+    tracemalloc.stop()
+
+
+def test_repeated_and_missing_ids(spark, documents):
+    item = " ".join(WORDS(20))
+    benchmark = spark.createDataFrame([(None, item), (3, item), (3, item), (4, "two words"), (None, None)], "item_id long, text string")
+    docs = documents([item, item, "clean text", item], [None, 5, 5, 5])
+    got = sorted(((r.doc_id, r.item_id) for r in decontam.contaminated(docs, benchmark).collect()), key=repr)
+    assert got == sorted([(d, i) for d in (None, 5, 5) for i in (None, 3)], key=repr)
+    assert [r.text for r in decontam.keep_clean(docs, benchmark).collect()] == ["clean text"]
+
+
+def test_scripts_without_spaces(spark, documents):
+    item = "東京の天気は明日も晴れるでしょうと彼は言った"
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = decontam.contaminated(documents(["前の文章。" + item + "。次の文章", "別の話です"]), benchmark).collect()
+    assert [(r.doc_id, r.item_id, r.similarity) for r in rows] == [(0, 1, 1.0)]
+
+
 def test_empty_tables(spark, documents):
     items, texts = corpus()
     benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
@@ -90,6 +123,35 @@ def test_empty_tables(spark, documents):
     assert decontam.keep_clean(documents(texts), benchmark.limit(0)).count() == len(texts)
 
 
+def test_query_matches_brute_force(spark, small, folder):
+    """All items against all texts, with edited copies planted: every pair that has a seed by definition is aligned whole."""
+    from spalt.llm.queries import QUERIES
+
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
+    texts = [r.text for r in spark.read.parquet(f"{small}/documents.parquet").select("text").collect()]
+    for k, (_, t) in enumerate(items[:30]):
+        texts.append(" ".join([*WORDS(50), *edited(t.split(), 0.05 * (k % 8)), *WORDS(30)]))
+    d = folder(documents=spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), benchmark=spark.createDataFrame(items, "item_id long, text string"))
+    counts, lists = {}, [decontam.words(t) for t in texts]
+    for w in (w for x in lists for w in x):
+        counts[w] = counts.get(w, 0) + 1
+    total, want = sum(counts.values()), {}
+    for i, t in items:
+        own = decontam.words(t)
+        grams = list(zip(own, own[1:], own[2:], strict=False))
+        chance = [sum(np.log(max(counts.get(w, 0), 0.5) / total) for w in g) for g in grams]
+        rare = {g for g, c in zip(grams, chance, strict=True) if c <= np.log(decontam.RARE)}
+        if sum(c <= np.log(decontam.RARE) for c in chance) < decontam.LEAST:
+            rare = {grams[k] for k in np.argsort(chance, kind="stable")[: decontam.LEAST]}
+        for e, x in enumerate(lists):
+            if rare & set(zip(x, x[1:], x[2:], strict=False)):
+                best = slow_align(own, x) / (2 * len(own))
+                if best >= decontam.THRESHOLD:
+                    want[e, i] = best
+    rows = QUERIES["op10_decontamination"](spark, d).collect()
+    assert {(r.doc_id, r.item_id): r.similarity for r in rows} == want and len(rows) == len(want) > 25
+
+
 def test_query_finds_verbatim_copies(spark):
     from spalt.llm.queries import QUERIES
 
