@@ -1,29 +1,35 @@
 """Quality rules as a short-circuit cascade (operator 8).
 
-Each rule rejects or passes a text. The cascade first measures every rule on a bounded sample (seconds for a text,
-share of texts it rejects), orders the rules by rejections per second, and then applies them to all rows in that
-order, stopping at the first that rejects. The order changes the work only: the verdict is that of all rules together.
+Each rule rejects or passes a text. The cascade first measures every rule on a sample that is drawn from all of the table,
+in the tasks that hold it: seconds for a text, to a power of two, and which rules reject the same texts. It puts the rule of
+most rejections per second first, then, of the texts that are left, the next, and so on, and applies the rules to all rows
+in that order, stopping at the first that rejects. The order changes the work only: the verdict is that of all rules
+together. Only a count for each set of rejecting rules and each rule's seconds reach the driver.
 
 Defined results: a null text is like an empty one (no words, rejected by the length rule); ties in the order go by
-rule name; repeated rows are judged one by one; an empty table gives an empty result; other columns stay as they are.
+rule name; repeated rows are judged one by one, a very long text as a whole; an empty table gives an empty result; other
+columns stay, and a new column whose name is taken gets a _ behind it.
 """
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spalt.llm.common import fresh, with_text_columns
+from spalt.llm.common import added, fresh, with_text_columns
 
 WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
+UPPER, LOWER = regex.compile(r"\p{Lu}+"), regex.compile(r"\p{Ll}+")
 
 
 class Features:
@@ -80,9 +86,8 @@ class Features:
 
     @cached_property
     def upper_share(self) -> float:
-        """Upper-case among the letters that have a case."""
-        t = self.text
-        upper, lower = sum(map(str.isupper, t)), sum(map(str.islower, t))
+        """Upper-case letters (Lu) among these and lower-case ones (Ll)."""
+        upper, lower = (sum(map(len, x.findall(self.text))) for x in (UPPER, LOWER))
         return upper / max(1, upper + lower)
 
 
@@ -102,37 +107,59 @@ RULES = (
     Rule("shouting", lambda f: f.upper_share > 0.5),
 )
 BASE = ("too_short", "repetitive")
-#: Rows at most in the sample that the order of rules comes from, and the share of rows that it is drawn from.
-SAMPLE_ROWS, SAMPLE_SHARE = 256, 0.1
+#: Rows of the sample that the order of rules comes from, on average.
+SAMPLE_ROWS = 1000
+#: Rejecting rules (a bit for each) -> texts, and seconds of each rule for a text.
+Measured = tuple[dict[int, int], list[float]]
 
 
-def measure(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> dict[str, tuple[float, float]]:
-    """Rule -> (seconds for a text, share of texts rejected) on a sample, for which Spark reads no more files than it needs."""
-    texts = [r[0] for r in docs.select(F.col("text").cast("string")).sample(SAMPLE_SHARE, seed=7).limit(sample_rows).collect()]
-    out = {}
-    for r in rules if texts else ():
-        start = time.perf_counter()
-        hits = sum(r.rejects(Features(t)) for t in texts)
-        out[r.name] = ((time.perf_counter() - start) / len(texts), hits / len(texts))
-    return out
+def measure(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> Measured:
+    """The rules on a sample of all of docs, measured where the rows are."""
+    n = docs.count()
+    few = docs if n <= sample_rows else docs.sample(sample_rows / n, seed=7)
 
+    def make():
+        def compute(texts: list) -> list:
+            masks, seconds = [], []
+            for t in texts:
+                mask, took = 0, []
+                for i, r in enumerate(rules):
+                    start = time.perf_counter()
+                    mask |= r.rejects(Features(t)) << i
+                    took.append(time.perf_counter() - start)
+                masks.append(mask)
+                seconds.append(took)
+            return [masks, seconds]
+
+        return compute
+
+    kinds = [T.StructField("mask", T.LongType()), T.StructField("seconds", T.ArrayType(T.DoubleType()))]
+    took = [F.sum(F.col("seconds")[i]).alias(f"s{i}") for i in range(len(rules))]
+    rows = with_text_columns(few.select("text"), kinds, make, keep=[]).groupBy("mask").agg(F.count(F.lit(1)).alias("n"), *took).collect()
+    total = sum(r["n"] for r in rows)
+    return {r["mask"]: r["n"] for r in rows}, [sum(r[f"s{i}"] for r in rows) / max(1, total) for i in range(len(rules))]
 
-def cascade_order(rules: Sequence[Rule], measured: dict[str, tuple[float, float]]) -> list[Rule]:
-    """Most rejections per second first."""
-    def rate(r: Rule) -> float:
-        seconds, share = measured.get(r.name, (1.0, 0.0))
-        return share / max(seconds, 1e-9)
 
-    return sorted(rules, key=lambda r: (-rate(r), r.name))
+def cascade_order(rules: Sequence[Rule], measured: Measured) -> list[Rule]:
+    """Most rejections per second first, each rule's rejections being those of the texts that the rules before it pass."""
+    left, seconds = measured
+    cost = [2.0 ** round(math.log2(max(s, 1e-9))) for s in seconds]
+    order: list[int] = []
+    while len(order) < len(rules):
+        hits = {i: sum(n for mask, n in left.items() if mask >> i & 1) for i in range(len(rules)) if i not in order}
+        best = min(hits, key=lambda i: (-hits[i] / cost[i], cost[i], rules[i].name))
+        order.append(best)
+        left = {mask: n for mask, n in left.items() if not mask >> best & 1}
+    return [rules[i] for i in order]
 
 
 def judge(docs: DataFrame, rules: Sequence[Rule] = RULES, features: Sequence[str] = (), names: dict[str, str] | None = None) -> DataFrame:
     """docs with `kept` (no rule rejects), `rejected_by` (the first rule of the cascade that did) and the features asked for.
 
-    names renames the added columns, for tables that already have such ones.
+    names renames the added columns.
     """
     order = cascade_order(rules, measure(docs, rules))
-    features, names = list(features), names or {}
+    features = list(features)
 
     def make():
         def compute(texts: list) -> list:
@@ -147,7 +174,7 @@ def judge(docs: DataFrame, rules: Sequence[Rule] = RULES, features: Sequence[str
         return compute
 
     kinds = [T.BooleanType(), T.StringType(), *[T.LongType()] * len(features)]
-    fields = [T.StructField(names.get(x, x), k) for x, k in zip(["kept", "rejected_by", *features], kinds, strict=True)]
+    fields = [T.StructField(x, k) for x, k in zip(added(docs, ["kept", "rejected_by", *features], names), kinds, strict=True)]
     return with_text_columns(docs, fields, make)
 
 
