@@ -7,14 +7,16 @@ weighted log loss through the noisy-or, which sends a toxic label to the sentenc
 located by their scores. In training a leak, one more cause that every document has, takes the labels that no sentence
 explains; it is left out of scores, and a long text doesn't score for its length.
 
-The classifier is fitted on a bounded sample: at most SAMPLE labelled documents of either label, those with the least
-hash of their doc_id, copies of a text once, weighted so that each label counts as it does among all labelled rows.
-Tasks count in how many of these documents a feature is; only features that toxic ones hold well beyond chance are
-learned, and what reaches the driver are their numbers, sentence by sentence. Scoring reads every whole text, in place, with nothing shuffled.
+The classifier is fitted on a bounded sample: at most SAMPLE labelled documents of either label and SAMPLE_CHARS characters
+of these, those with the least hash of their doc_id, giants last, copies of a text once, weighted so that each label counts
+as it does among all labelled rows. Tasks count in how many of these documents a feature is; all features that toxic ones
+hold well beyond chance are learned, and what reaches the driver are their numbers, sentence by sentence. Scoring reads
+every whole text, in place, with nothing shuffled.
 
 Defined results: a null text or one without letters has no sentence and scores 0; several labels of one doc_id count as
 toxic if one of them is; null labels and null doc_ids are not learned from; with no toxic or no other label, every
-score is 0; repeated rows are scored one by one; an empty table gives an empty result; other columns stay out.
+score is 0; repeated rows are scored one by one, a very long text as a whole; an empty table gives an empty result; other
+columns stay, and a new column whose name is taken gets a _ behind it.
 """
 
 from __future__ import annotations
@@ -27,18 +29,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from spalt.llm.common import arrow_batches, materialize, with_text_columns
+from spalt.llm.common import added, materialize, with_text_columns
 
 FEATURES = 1 << 22
 #: Labelled documents of either label that the classifier is fitted on, at most.
 SAMPLE = 6000
+#: And characters of these, at most; a document of more than a hundredth of them comes after all others.
+SAMPLE_CHARS = 32_000_000
 #: Documents of the sample that a word must be in to have a weight.
 LEAST_DOCS = 5
 #: And deviations at least by which more of these documents must be toxic than their number alone would have.
 LEAST_Z = 5.0
-#: The features that are learned, at most: those of most deviations.
-MOST = 50_000
 STEPS, RATE, SHRINK = 160, 0.15, 2e-5
 #: A lesser weight is none.
 FAINT = 0.5
@@ -107,14 +110,19 @@ class Model:
 
 def fit(bags: list[list[list[int]]], labels: np.ndarray, weights: np.ndarray, steps: int = STEPS) -> Model:
     """bags: of each document the features of its sentences that have any; weights: of the documents."""
+    features = np.array([f for b in bags for s in b for f in s], np.int64)
+    return fit_flat(features, np.array([len(s) for b in bags for s in b], np.int64), np.array([len(b) for b in bags], np.int64), labels, weights, steps)
+
+
+def fit_flat(features: np.ndarray, sizes: np.ndarray, sentences_of: np.ndarray, labels: np.ndarray, weights: np.ndarray, steps: int = STEPS) -> Model:
+    """features one after the other, sizes: how many each sentence has, sentences_of: how many sentences each document has."""
     nothing = Model(np.zeros(FEATURES, np.float32), -60.0)
-    y, n_docs = labels.astype(np.float64), len(bags)
-    sizes = [len(s) for b in bags for s in b]
-    if not sizes or y.min() == y.max():
+    y, n_docs = labels.astype(np.float64), len(sentences_of)
+    if not len(sizes) or y.min() == y.max():
         return nothing
-    used, word = np.unique(np.array([f for b in bags for s in b for f in s], np.int64), return_inverse=True)
+    used, word = np.unique(features, return_inverse=True)
     sentence = np.repeat(np.arange(len(sizes)), sizes)
-    doc = np.repeat(np.arange(n_docs), [len(b) for b in bags])
+    doc = np.repeat(np.arange(n_docs), sentences_of)
     w, total = np.zeros(len(used)), weights.sum()
     own = np.array([-2.0, -3.0])  # of every sentence; of the leak
     m, v = np.zeros(len(used) + 2), np.zeros(len(used) + 2)
@@ -153,11 +161,11 @@ def select(sample: DataFrame) -> np.ndarray:
 
     rows = sample.select("text", "toxic").mapInArrow(run, "feature long, n long, toxic long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
     z = (F.col("toxic") - F.col("n") * share) / F.sqrt(F.col("n") * (share * (1 - share)))
-    picked = rows.where(F.col("n") >= LEAST_DOCS).withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "feature").limit(MOST)
-    return np.array(sorted(r["feature"] for r in picked.select("feature").collect()), np.int64)
+    picked = rows.where(F.col("n") >= LEAST_DOCS).where(z >= LEAST_Z).select("feature").toArrow()  # of the sample's words
+    return np.sort(picked["feature"].to_numpy())
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE) -> Model:
+def train(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Model:
     """Fit on labelled documents of which `learn`, a condition on doc_id, is true."""
     labelled = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(learn).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     labelled = labelled.select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
@@ -167,8 +175,12 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPL
         part = labelled.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         picked = part if picked is None else picked.unionByName(part)
     found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")  # 2 * sample rows at most
-    found = materialize(found.select("toxic", "text", F.xxhash64("text").alias("h")).dropDuplicates(["toxic", "h"]).select("text", "toxic"), "labelled")
-    arrow_batches(docs.sparkSession)
+    found = found.select("toxic", "text", F.xxhash64("doc_id").alias("at"), F.xxhash64("text").alias("h"), F.coalesce(F.length("text"), F.lit(0)).alias("chars")).dropDuplicates(["toxic", "h"])
+    found = materialize(found, "labelled")
+    # a window over the sample's rows without their texts
+    order = Window.partitionBy("toxic").orderBy(F.col("chars") > chars // 100, "at", "h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    fits = found.select("toxic", "h", F.sum("chars").over(order).alias("upto")).where(F.col("upto") <= chars).select("toxic", "h")
+    found = materialize(found.join(F.broadcast(fits), ["toxic", "h"], "left_semi").select("text", "toxic"), "sample")
     features = select(found)
 
     def make():
@@ -185,14 +197,17 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPL
 
     kind = T.ArrayType(T.ArrayType(T.IntegerType()))
     table = with_text_columns(found, [T.StructField("bag", kind)], make, keep=["toxic"]).toArrow()
-    y, bags = table["toxic"].to_numpy(), table["bag"].to_pylist()
+    y, bags = table["toxic"].to_numpy(), table["bag"].combine_chunks()
     share = np.bincount(y, minlength=2)
     weight = np.array([totals.get(k, 0) / max(1, share[k]) for k in (0, 1)])
-    return fit(bags, y, weight[y])
+    inner = bags.flatten()
+    return fit_flat(inner.flatten().to_numpy().astype(np.int64), inner.value_lengths().to_numpy().astype(np.int64), bags.value_lengths().to_numpy().astype(np.int64), y, weight[y])
 
 
-def score(docs: DataFrame, model: Model, offending: float = 0.5, keep: list[str] | None = None) -> DataFrame:
-    """docs with score, and offending: the (begin, end) characters and score of each sentence at or above `offending`."""
+def score(docs: DataFrame, model: Model, offending: float = 0.5, keep: list[str] | None = None, names: dict[str, str] | None = None) -> DataFrame:
+    """docs' columns (of `keep`) with score, and offending: the (begin, end) characters and score of each sentence at or
+    above `offending`; names renames the two."""
+    score, spots = added(docs if keep is None else docs.select(*keep), ["score", "offending"], names)
     held = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES weights
 
     def make():
@@ -200,19 +215,19 @@ def score(docs: DataFrame, model: Model, offending: float = 0.5, keep: list[str]
         known = _Weights(model.weights)
 
         def compute(texts: list) -> list:
-            scores, spots = [], []
+            scores, found = [], []
             for t in texts:
                 p, s = model.score(t, known)
                 scores.append(p)
                 bad = np.flatnonzero(s >= offending).tolist()
                 if bad:
                     at = [m.span() for m in _SENTENCE.finditer(t) if re.search(r"[^\W\d_]", m.group())]
-                    spots.append([{"begin": at[i][0], "end": at[i][1], "score": float(s[i])} for i in bad if i < len(at)])
+                    found.append([{"begin": at[i][0], "end": at[i][1], "score": float(s[i])} for i in bad if i < len(at)])
                 else:
-                    spots.append([])
-            return [pa.array(scores, pa.float64()), spots]
+                    found.append([])
+            return [pa.array(scores, pa.float64()), found]
 
         return compute
 
     spot = T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType())])
-    return with_text_columns(docs, [T.StructField("score", T.DoubleType()), T.StructField("offending", T.ArrayType(spot))], make, keep=keep)
+    return with_text_columns(docs, [T.StructField(score, T.DoubleType()), T.StructField(spots, T.ArrayType(spot))], make, keep=keep)
