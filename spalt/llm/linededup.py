@@ -12,7 +12,7 @@ joins are merge joins, at every size: what they join grows with the table.
 Defined results: a null text stays null with no lines; a text of fewer than three lines stays; a text all of whose
 lines go becomes empty. Each row is a document of its own, known by with_row_key(); doc_id gives the order alone, rows
 without one come first, and rows with the same doc_id are ordered by a hash of the text. An empty table gives an empty
-result. Other columns stay.
+result. Other columns stay, and a new column whose name is taken gets a _ behind it.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spalt.llm.common import fresh, materialize, with_row_key
+from spalt.llm.common import added, fresh, materialize, with_row_key
 
 KEY = ["k1", "k2"]
 
@@ -56,7 +56,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, names: dict[str, str] | None = None) -> DataFrame:
     """docs with repeated passages cut from text, and two more columns: n_lines and n_removed (renamed by names)."""
-    names = names or {}
+    n_lines, n_removed = added(docs, ["n_lines", "n_removed"], names)
     row, key, taken = fresh("row", docs), fresh("removed_row", docs), fresh("removed", docs)
     keyed = with_row_key(docs, row)
     gone = materialize(removed_lines(keyed.select(F.col(row).alias("row"), "text")), "removed").select(F.col("row").alias(key), F.col("removed").alias(taken))
@@ -68,6 +68,6 @@ def dedup_lines(docs: DataFrame, names: dict[str, str] | None = None) -> DataFra
     cut = F.array_join(F.transform(kept, lambda i: F.get(F.col(lines), i)), "\n")
     return joined.select(
         *(F.when(F.col(taken).isNull(), F.col("text")).otherwise(cut).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias(names.get("n_lines", "n_lines")),
-        F.coalesce(F.size(taken), F.lit(0)).cast("long").alias(names.get("n_removed", "n_removed")),
+        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias(n_lines),
+        F.coalesce(F.size(taken), F.lit(0)).cast("long").alias(n_removed),
     )

@@ -9,8 +9,9 @@ Ids are those of the library for the whole text. No piece of a model with escape
 another character for the text to be cut before its spaces and each cut be encoded once; the codec looks at the
 vocabulary and hands over whole texts where this doesn't hold, and texts that hold a space mark themselves. Decoding is the library's, of all ids of the document.
 
-Defined results: a null text is like an empty one: no ids; other columns stay, repeated rows are encoded one by one,
-an empty table gives an empty result, and memory is that of one batch of whole texts and a bounded store of words.
+Defined results: a null text is like an empty one: no ids; other columns stay, and a new column whose name is taken gets a
+_ behind it; repeated rows are encoded one by one, an empty table gives an empty result, and memory is that of one batch of
+whole texts and a bounded store of words.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from spalt.llm.common import with_text_columns
+from spalt.llm.common import added, with_text_columns
 
 MARK = "▁"
 #: Cuts whose ids a worker remembers; beyond it, it starts anew.
@@ -201,7 +202,7 @@ COLUMNS = {
 
 def encode(docs: DataFrame, model_file: str, columns: Sequence[str] = ("ids", "begins", "ends"), names: dict[str, str] | None = None) -> DataFrame:
     """docs and the columns asked for, of COLUMNS; names renames them."""
-    columns, names = list(columns), names or {}
+    columns, given = list(columns), added(docs, columns, names)
     decodes = any(c.startswith("decoded") for c in columns)
 
     def make():
@@ -220,7 +221,7 @@ def encode(docs: DataFrame, model_file: str, columns: Sequence[str] = ("ids", "b
 
         return compute
 
-    return with_text_columns(docs, [T.StructField(names.get(x, x), COLUMNS[x][0]) for x in columns], make)
+    return with_text_columns(docs, [T.StructField(n, COLUMNS[x][0]) for n, x in zip(given, columns, strict=True)], make)
 
 
 def decode(rows: DataFrame, model_file: str, ids: str = "ids") -> DataFrame:

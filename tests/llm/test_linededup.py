@@ -58,6 +58,7 @@ def test_long_text_and_extra_columns(documents):
     docs = documents([long, long + "\nmore"]).selectExpr("*", "1 AS n_lines", "2 AS removed", "3 AS lines")
     out = dedup_lines(docs, {"n_lines": "total", "n_removed": "cut"})
     assert [(r.doc_id, r.total, r.cut, r.n_lines) for r in out.orderBy("doc_id").collect()] == [(0, 30_000, 0, 1), (1, 30_001, 30_000, 1)]
+    assert dedup_lines(docs).columns == [*docs.columns, "n_lines_", "n_removed"]
     assert dedup_lines(docs.limit(0)).count() == 0
 
 
