@@ -42,6 +42,11 @@ def compute(df: DataFrame, outputs: Mapping[str, Column | str]) -> DataFrame:
     return df.select(*((F.col(e) if isinstance(e, str) else e).alias(label) for label, e in outputs.items()))
 
 
+def project(df: DataFrame, *items: str) -> DataFrame:
+    """Output columns by their texts, which are their labels too: 'u.name' of an aliased table stays u.name, 'a + 1' is a + 1."""
+    return df.select(*(F.expr(x).alias(x) for x in items))
+
+
 def unit(spark: SparkSession, outputs: Mapping[str, Column]) -> DataFrame:
     """One row of constants: a select without a table."""
     return compute(spark.range(1), outputs)

@@ -169,6 +169,12 @@ def test_projection_after_the_limit(spark):
     assert [r.x for r in R.top(df, 2, "i", then={"x": fails}).collect()] == [0, 1]
 
 
+def test_labels_are_the_texts(spark):
+    u, o = spark.createDataFrame([(1, "Alice")], "id int, name string").alias("u"), spark.createDataFrame([(1, 7)], "user_id int, n int").alias("o")
+    out = R.project(J.inner(u, o, F.col("u.id") == F.col("o.user_id")), "u.name", "o.n", "n + 1")
+    assert out.columns == ["u.name", "o.n", "n + 1"] and tuple(out.first()) == ("Alice", 7, 8)
+
+
 def test_aggregates(spark):
     df = spark.createDataFrame([(1, 10), (1, 20), (2, 5), (None, 1), (None, None)], "g int, v int")
     out = A.aggregate(df, ["g"], {"s": F.sum("v"), "n": F.count("v"), "m": A.count_all()})
