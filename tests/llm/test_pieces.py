@@ -1,7 +1,9 @@
 import hashlib
 import random
+import zlib
 from types import SimpleNamespace
 
+import numpy as np
 import public_tokenizers
 import sentencepiece
 
@@ -83,8 +85,10 @@ def test_query(spark, small):
 
     model = sentencepiece.SentencePieceProcessor(model_file=FILE)
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in QUERIES["op3_sentencepiece"](spark, small).collect()}
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256, r.spans_crc32) for r in QUERIES["op3_sentencepiece"](spark, small).collect()}
     for r in spark.read.parquet(f"{small}/documents.parquet").collect():
         ids = model.encode(r.text)
-        assert got.pop(r.doc_id) == (len(ids), sha(",".join(map(str, ids))), sha(model.decode(ids)))
+        found = [(p.begin, p.end) for p in model.encode(r.text, return_type="proto").pieces]
+        spans = np.array(found, "<i4").reshape(-1, 2).T
+        assert got.pop(r.doc_id) == (len(ids), sha(",".join(map(str, ids))), sha(model.decode(ids)), zlib.crc32(np.ascontiguousarray(spans).tobytes()))
     assert not got
