@@ -221,7 +221,7 @@ def hits(docs: DataFrame, seeds: DataFrame) -> DataFrame:
 def passages(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(row, item, low, part): the words of docs (row, text) about each run of hits of an item, from word `low` on."""
     lists = found.groupBy("row").agg(F.collect_list(F.struct("item", "at", "n")).alias("met")).withColumnRenamed("row", "own")
-    whole = docs.join(lists, F.col("row") == F.col("own")).select("row", F.col("text").cast("string").alias("text"), "met")
+    whole = docs.join(lists.hint("merge"), F.col("row") == F.col("own")).select("row", F.col("text").cast("string").alias("text"), "met")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -287,4 +287,4 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     row, out = fresh("row", docs), fresh("out", docs)
     keyed = with_row_key(docs, row)
     found = found_items(keyed.select(F.col(row).alias("row"), "text"), benchmark, threshold)
-    return keyed.join(found.select(F.col("row").alias(out)).distinct(), F.col(row) == F.col(out), "left_anti").drop(row)
+    return keyed.join(found.select(F.col("row").alias(out)).distinct().hint("merge"), F.col(row) == F.col(out), "left_anti").drop(row)
