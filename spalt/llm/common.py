@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -64,7 +66,7 @@ def _alone() -> str:
     return "file://" + tempfile.mkdtemp(prefix="spalt-")
 
 
-#: Folders that materialize() wrote, oldest first, until forget() deletes them.
+#: Folders that materialize() wrote and forget() has not deleted, oldest first.
 _written: list[str] = []
 
 
@@ -77,28 +79,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
-def delete(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def table_folder(spark: SparkSession, name: str) -> str:
+    """A folder for a table of that name, which forget() deletes like those of materialize()."""
+    _written.append(f"{shared_folder(spark)}/spalt-{name}")
+    return _written[-1]
 
 
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """Tables that are written inside are deleted at the end, but for those of the DataFrames given to what this yields."""
-    start, kept = len(_written), set()
+def forget(spark: SparkSession, start: int = 0) -> int:
+    """Delete the tables that materialize() has written since `start`, all but the last; the number to begin from next time."""
+    for folder in _written[start:-1]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    del _written[start:-1]
+    return start
 
-    def keep(df: DataFrame) -> DataFrame:
-        kept.update(f.rsplit("/spalt-", 1)[1].split("/", 1)[0] for f in df.inputFiles() if "/spalt-" in f)
-        return df
 
-    yield keep
-    own = _written[start:]
-    del _written[start:]
-    for folder in own:
-        if folder.rsplit("/spalt-", 1)[1] in kept:
-            _written.append(folder)
-        else:
-            delete(spark, folder)
+def written() -> int:
+    return len(_written)
 
 
 def fresh(name: str, *frames: DataFrame) -> str:
@@ -185,10 +182,21 @@ def with_text_columns(
                 out = compute(b.column(n).to_pylist())
                 made = [x.cast(k) if isinstance(x, pa.Array) else pa.array(x, type=k) for x, k in zip(out, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*b.columns[:n], *made], names)
+        del compute
+        give_back()
 
     return source.mapInArrow(run, T.StructType([*(docs.schema[c] for c in keep), *fields]))
 
 
+def give_back() -> None:
+    """What a task's Python has freed goes back to the system: workers outlive their tasks and wait beside others."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def added(docs: DataFrame, columns: Sequence[str], names: dict[str, str] | None = None) -> list[str]:
     """Names for new columns: those that `names` gives, else their own, with _ behind them where docs has such a column."""
     return [(names or {}).get(c) or fresh(c, docs) for c in columns]

@@ -1,8 +1,8 @@
-"""SimHash near-dedup with a pigeonring filter (operator 6).
+"""SimHash near-dedup with a pigeonring filter (operator 6), and near-dedup by an exact similarity of shingles.
 
 A text is lower-cased in A-Z and cut into words; every shingle of `words` words, repeats included, is hashed by XXH64
 with seed 42; bit b of the fingerprint is set if more than half the hashes have it. Texts whose fingerprints differ in
-at most `distance` bits are linked, and a component is what links reach.
+at most `distance` bits are linked, and a component is what links reach (near_groups).
 
 Candidates: the 64 bits form a ring of distance + 1 segments. If two fingerprints differ in at most d bits there is a
 segment from which every chain of 1, 2, ... consecutive segments differs in at most floor(length * d / segments) bits;
@@ -14,14 +14,20 @@ paired off, and nothing in it is skipped either: two fingerprints at distance 2
 both, so each emits the words within one bit of it (outside the equal segment) and is linked to the least fingerprint
 of each word, a number of rows in proportion to the bucket. Links of both kinds lead to the same components.
 
+A fingerprint estimates a similarity, and a stage that must find every pair of a Jaccard similarity of 0.8 and no other can't
+decide by it. similar_rows() therefore takes its candidates from an exact prefix filter and bounds them by bitmaps before
+the sets of shingles are compared.
+
 Defined results: a null text is like an empty one, fingerprint zero, linked like any other. A null doc_id counts as the
-largest: it names a component only if no other does. Rows with equal doc_id each get a row. An empty table gives an
-empty result. Other columns of the input stay out of the way: results carry doc_id and the columns named here.
+largest: it names a component only if no other does. Rows with equal doc_id each get a row, repeated rows one each. A very
+long text is taken whole, its hashes counted in parts. An empty table gives an empty result. Other columns of the input stay
+out of the way: results carry doc_id and the columns named here.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +35,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spalt.llm.common import fresh, materialize, with_row_key, with_text_columns
+from spalt.llm.common import fresh, materialize, run_hashes, with_row_key, with_text_columns, word_hashes
 
 SEED = 42
 #: Fingerprints with one segment value that are still compared pair by pair; beyond it, the exact way by shared words.
 BUCKET = 64
-#: Odd factors that make several hashes of one.
-_SPREAD = np.array([1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93], np.uint64)
+#: Parts that a node's edges are dealt to, so that a hub is no single task.
+SALTS = 64
+_SPACE = [9, 10, 11, 12, 13, 32]
+_WORD = ~np.isin(np.arange(256), _SPACE)
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -122,6 +130,14 @@ def links(prints: DataFrame, distance: int = 2, bucket: int = BUCKET) -> DataFra
     return pairs.unionByName(stars).distinct()
 
 
+def with_least(pairs: DataFrame) -> DataFrame:
+    """(u, v, m) of pairs (u, v): m is the least v of u. A u that a large share of the rows has is SALTS keys."""
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
+    cells = salted.groupBy("u", "salt").agg(F.min("v").alias("cell"))
+    low = cells.groupBy("u").agg(F.min("cell").alias("m"))
+    return salted.join(cells.select("u", "salt").join(low, "u"), ["u", "salt"]).select("u", "v", "m")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node of each component with an edge, by alternating large-star and small-star steps.
 
@@ -132,12 +148,10 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
+        large = with_least(both).where("v > u").select(F.least("u", "m").alias("a"), F.col("v").alias("b")).distinct()
         large = materialize(large, "large")
         down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(low, "u").select(F.col("m").alias("a"), F.explode(F.array("u", "v")).alias("b")).where("a <> b").distinct()
+        small = with_least(down).select(F.col("m").alias("a"), F.explode(F.array("u", "v")).alias("b")).where("a <> b").distinct()
         edges = materialize(small, "small")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
@@ -157,53 +171,17 @@ def near_groups(docs: DataFrame, words: int = 3, distance: int = 2, bucket: int
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-WORDS, PROBED = 4, 3
-
-
-def similar_budget(similarity: float) -> int:
-    """Bits of a wide fingerprint in which texts of this share of common shingles differ, and two deviations more."""
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    n = 64 * WORDS
-    return math.floor(n * share + 2 * math.sqrt(n * share * (1 - share)))
-
-
-def wide_fingerprint(text: str | None, words: int = 5) -> tuple[list[int], list[int]]:
-    """(WORDS fingerprints of 64 bits, keys to look up beside its own); an estimate of similarity, no verdict of similar_rows().
-
-    The keys are segments with some of their PROBED least decided bits changed, those that an edit changes first.
-    """
-    import xxhash
-
-    tokens = (text or "").encode().lower().split()
-    n = max(1, len(tokens) - words + 1) if tokens else 0
-    base = np.array([xxhash.xxh64_intdigest(b" ".join(tokens[i : i + words]), SEED) for i in range(n)], np.uint64)
-    counts = np.zeros(64 * WORDS, np.int64)
-    for i in range(0, n, 1 << 14):
-        h = base[i : i + (1 << 14), None] * _SPREAD
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(32)
-        counts += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(len(h), -1), axis=1).sum(axis=0, dtype=np.int64)
-    counts = counts.reshape(WORDS, 64)[:, ::-1]  # in the order of bits, the least first
-    bits, margin = 2 * counts > n, np.abs(2 * counts - n)
-    values = (bits.astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
-    keys = []
-    for w in range(WORDS):
-        for s, (first, size) in enumerate(segments(3)):
-            own = (int(values[w]) >> first & (1 << size) - 1) | (3 * w + s) << 22
-            weak = np.argsort(margin[w, first : first + size], kind="stable")[:PROBED].tolist()
-            for chosen in range(1, 1 << PROBED):
-                keys.append(own ^ sum(1 << b for j, b in enumerate(weak) if chosen >> j & 1))
-    return values.view(np.int64).tolist(), keys
+def shingle_sets(texts: Sequence[str | None], words: int = 5) -> Iterator[np.ndarray]:
+    """Of each text the distinct hashes of its shingles in order; a text of fewer words has one shingle, one without words none."""
+    hashes, starts = word_hashes([(t or "").encode().lower() for t in texts], _WORD)
+    every = run_hashes(hashes, words)
+    for a, b in zip(starts.tolist(), starts[1:].tolist(), strict=False):
+        found = every[a : b - words + 1] if b - a >= words else run_hashes(hashes[a:b], b - a)[: b - a]
+        yield np.unique(found.view(np.int64))
 
 
 def shingles(text: str | None, words: int = 5) -> np.ndarray:
-    """The distinct hashes of the text's shingles in order; a text of fewer words has one shingle, one without words none."""
-    import xxhash
-
-    tokens = (text or "").encode().lower().split()
-    n = max(1, len(tokens) - words + 1) if tokens else 0
-    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(tokens[i : i + words]), SEED) for i in range(n)], np.uint64).view(np.int64))
+    return next(shingle_sets([text], words))
 
 
 def set_number(found: np.ndarray) -> int:
@@ -240,7 +218,7 @@ def prefix(found: np.ndarray, similarity: float, common: tuple[np.ndarray, np.nd
 def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes in order, counts) of shingles that many texts of a sample hold. Results don't depend on it: any order of hashes is right."""
     few = docs.select("text").sample(False, min(1.0, SAMPLE / max(1, docs.count())), SEED)
-    made = with_text_columns(few, [T.StructField("found", T.ArrayType(T.LongType()))], lambda: lambda texts: [pa.array([shingles(t, words) for t in texts], pa.list_(pa.int64()))], keep=[])
+    made = with_text_columns(few, [T.StructField("found", T.ArrayType(T.LongType()))], lambda: lambda texts: [pa.array(list(shingle_sets(texts, words)), pa.list_(pa.int64()))], keep=[])
     rows = made.select(F.explode("found").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON).orderBy("key").toArrow()
     return rows["key"].to_numpy(), rows["n"].to_numpy()
 
@@ -256,7 +234,7 @@ def alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float
 
     def make():
         def compute(texts: list) -> list:
-            found = [shingles(t, words) for t in texts]
+            found = list(shingle_sets(texts, words))
             return [[set_number(x) for x in found], pa.array(found, pa.list_(pa.int64()))]
 
         return compute
@@ -288,7 +266,7 @@ def similar_rows(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Da
         common = held.value
 
         def compute(texts: list) -> list:
-            found = [shingles(t, words) for t in texts]
+            found = list(shingle_sets(texts, words))
             maps = np.array([bitmap(x) for x in found]).reshape(-1, BITMAP)
             return [[set_number(x) for x in found], [len(x) for x in found], *(pa.array(maps[:, i]) for i in range(BITMAP)), pa.array([prefix(x, similarity, common) for x in found], pa.list_(pa.int64())), pa.array([bitmap(x, WIDE) for x in found], pa.list_(pa.int64()))]
 

@@ -2,7 +2,7 @@ import public_tokenizers
 import sentencepiece
 
 import corpus_pipeline
-from spalt.llm import decontam, simhash
+from spalt.llm import decontam
 from spalt.llm.quality import RULES, Features
 from tests.llm.test_linededup import brute as cut_lines
 from tests.llm.test_simhash import brute_similar
@@ -14,7 +14,7 @@ def expected(rows, items):
     """The five stages by brute force: (doc_id, text) -> (doc_id, text)."""
     rows = [(d, t) for d, t in rows if not any(r.rejects(Features(t)) for r in RULES)]
     rows = [(d, t) for d, t, _, _ in cut_lines(rows)]
-    groups = brute_similar(dict(rows), simhash.similar_budget(0.8))
+    groups = brute_similar(dict(rows))
     rows = [(d, t) for d, t in rows if groups[d] == d]
     items = [decontam.words(x) for x in items]
     counts = {}

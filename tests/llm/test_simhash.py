@@ -1,4 +1,5 @@
 import random
+import re
 
 import xxhash
 
@@ -7,8 +8,6 @@ from tests.llm.conftest import LONG
 
 
 def brute_print(text, n=3):
-    import re
-
     words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     if not words:
         return 0
@@ -79,13 +78,14 @@ def test_groups_and_copies(documents):
     assert got == sorted((ids[i], least[root]) for i, root in true.items())
 
 
-def brute_similar(texts, budget):
-    """{doc_id: text} -> least doc_id reached, comparing every two fingerprints segment by segment."""
-    parts = [(w, p) for w in range(simhash.WORDS) for p in simhash.segments(3)]
-    prints = {d: simhash.wide_fingerprint(t) for d, t in texts.items()}
-    values = {d: [v & (1 << 64) - 1 for v in p[0]] for d, p in prints.items()}
-    own = {d: [(v[w] >> a & (1 << n) - 1) | i << 22 for i, (w, (a, n)) in enumerate(parts)] for d, v in values.items()}
-    look = {d: {*own[d], *prints[d][1]} for d in texts}
+def brute_shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def brute_similar(texts):
+    """{doc_id: text} -> least doc_id reached by links of a similarity of 0.8 or more, every two texts compared; equal sets are linked."""
+    sets = {d: brute_shingles(t) for d, t in texts.items()}
     root = {d: d for d in texts}
 
     def find(x):
@@ -96,15 +96,10 @@ def brute_similar(texts, budget):
     ids = sorted(texts)
     for i, a in enumerate(ids):
         for b in ids[i + 1 :]:
-            d = [((values[a][w] ^ values[b][w]) >> p & (1 << n) - 1).bit_count() for w, (p, n) in parts]
-            if sum(d) > budget:
-                continue
-            for k in range(12):
-                met = own[a][k] in look[b] or own[b][k] in look[a]
-                if met and all(sum((d + d)[k : k + m]) <= m * budget // 12 for m in range(1, 13)):
-                    x, y = sorted((find(a), find(b)))
-                    root[y] = x
-                    break
+            x, y = sets[a], sets[b]
+            if x == y or (x and y and min(len(x), len(y)) >= 0.8 * max(len(x), len(y)) - 1e-9 and len(x & y) >= 0.8 * len(x | y) - 1e-9):
+                p, q = sorted((find(a), find(b)))
+                root[q] = p
     return {d: find(d) for d in ids}
 
 
@@ -126,11 +121,24 @@ def test_similar_groups_match_brute_force_and_find_near_copies(documents):
     texts += ["", None, "one", "one two three four five", LONG[:3000]]
     family += [100, 100, 101, 102, 103]
     got = {r.doc_id: r.component_id for r in simhash.similar_groups(documents(texts)).collect()}
-    assert got == brute_similar(dict(enumerate(texts)), simhash.similar_budget(0.8))
+    assert got == brute_similar(dict(enumerate(texts)))
     first = {f: family.index(f) for f in family}
     assert [got[i] for i in range(len(texts))] == [first[f] for f in family]
 
 
+def test_every_planted_near_copy_is_found(spark, small):
+    """Copies of the given texts with some words changed: those of 0.8 and more go, those of less stay, whatever their texts."""
+    rng = random.Random(9)
+    texts = [r.text for r in spark.read.parquet(f"{small}/documents.parquet").select("text").collect() if r.text and 80 < len(r.text.split()) < 2000][:120]
+    base = len(texts)
+    for t in texts[:base]:
+        texts.append(edited(t.split(" "), rng.randrange(1, max(2, len(t.split(" ")) // 30)), rng))
+    want = brute_similar(dict(enumerate(texts)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()} == want
+    assert sum(want[base + i] == want[i] for i in range(base)) > 30
+
+
 def test_one_stays_of_each_group(documents):
     text = " ".join(f"w{i}" for i in range(300))
     docs = documents([text, text, "another text with other words in it", None, ""], [4, 2, 3, 1, None]).selectExpr("*", "1 AS fp", "2 AS component_id", "3 AS f0", "4 AS node")
