@@ -19,7 +19,12 @@ Memory: documents are packed into groups of about GROUP_BYTES (a longer document
 bucketed by group, so that answers meet their text without shuffling it. A group sends each distinct value once to its
 block, and the answer is a bit for each value in the order sent. A block is about BLOCK_VALUES values; a value that a
 third of the rows hold has one entry for each group in its block, not one for each row. Rounds 1 and 3 compare 40 bits
-beside the block's number, where a false tie only costs work; rounds 2 and 4 decide, on 80 bits of two hashes.
+beside the block's number, where a false tie only costs work; rounds 2 and 4 decide, on 128 bits of two hashes: no bytes are
+compared, and among the 10^14 suffixes of 100 TB a false tie has a chance of 10^-11.
+
+A group's row is small where there are many more blocks than values in a group: from some TB on, rows of a few values cost
+more than their values. A document is one group whatever its length and takes some 60 bytes of memory a byte. Tables that
+are written on the way are deleted once the result is written.
 
 Defined results: null and empty texts have no bytes; texts under WIDTH bytes keep all; repeated rows are texts like any
 other and so are removed wholly from WIDTH bytes on, in all copies; an empty table gives an empty result.
@@ -37,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spalt.llm.common import arrow_batches, materialize, shared_folder
+from spalt.llm.common import arrow_batches, forget, materialize, table_folder, written
 
 WIDTH = 200
 #: A perfect difference set, every remainder modulo PERIOD is a difference of two of them.
@@ -71,17 +76,16 @@ def pack(docs: DataFrame) -> DataFrame:
         if ids:
             yield flush(ids, texts)
 
-    arrow_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, GROUPS)
 
 
-def bucketed(groups: DataFrame, n: int) -> DataFrame:
-    """Written once to the shared folder in n buckets by group_id: later joins on it don't move the texts."""
+def bucketed(groups: DataFrame, n: int) -> tuple[DataFrame, str]:
+    """Written once to the shared folder in n buckets by group_id: later joins on it don't move the texts. Also the table's name."""
     spark, name = groups.sparkSession, f"spalt_groups_{uuid.uuid4().hex}"
-    path = f"{shared_folder(spark)}/spalt-{name}"
-    options = {"path": path, "compression": "zstd", "parquet.block.size": str(32 << 20), "parquet.enable.dictionary": "false"}
-    groups.write.bucketBy(n, "group_id").options(**options).format("parquet").saveAsTable(name)
-    return spark.table(name)
+    options = {"path": table_folder(spark, name), "compression": "zstd", "parquet.block.size": str(32 << 20), "parquet.enable.dictionary": "false"}
+    with arrow_batches(spark):
+        groups.write.bucketBy(n, "group_id").options(**options).format("parquet").saveAsTable(name)
+    return spark.table(name), name
 
 
 @lru_cache(maxsize=1)
@@ -130,8 +134,8 @@ class Group:
         block = ((h >> np.uint64(40)) % np.uint64(self.blocks)).astype(np.int64)
         if not wide:
             key, own = np.unique((block.astype(np.uint64) << np.uint64(40)) | (h & np.uint64((1 << 40) - 1)), return_inverse=True)
-            return (key >> np.uint64(40)).astype(np.int64), key & np.uint64((1 << 40) - 1), np.zeros(len(key), np.uint16), own
-        more = (self.hash(1, at, width) >> np.uint64(48)).astype(np.uint16)
+            return (key >> np.uint64(40)).astype(np.int64), key & np.uint64((1 << 40) - 1), np.zeros(len(key), np.uint64), own
+        more = self.hash(1, at, width)
         order = np.lexsort((more, h, block))
         b, v, m = block[order], h[order], more[order]
         new = np.ones(len(at), bool)
@@ -217,7 +221,7 @@ def _send(number: int, blocks: int):
                 here, first = np.unique(block, return_index=True)
                 rows = []
                 for k, x, y in zip(here.tolist(), first.tolist(), [*first.tolist()[1:], len(block)], strict=True):
-                    data = value[x:y].astype("<u8").tobytes() + more[x:y].astype("<u2").tobytes() if wide else value[x:y].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+                    data = value[x:y].astype("<u8").tobytes() + more[x:y].astype("<u8").tobytes() if wide else value[x:y].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
                     rows.append((k, row["group_id"], data, np.packbits(twice[x:y]).tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
@@ -232,10 +236,10 @@ def _settle(number: int):
     def run(table: pa.Table) -> pa.Table:
         values, more, twice = [], [], []
         for data, flags in zip(table["data"].to_pylist(), table["twice"].to_pylist(), strict=True):
-            n = len(data) // (10 if wide else 5)
+            n = len(data) // (16 if wide else 5)
             if wide:
                 values.append(np.frombuffer(data, "<u8", n))
-                more.append(np.frombuffer(data, "<u2", n, 8 * n))
+                more.append(np.frombuffer(data, "<u8", n, 8 * n))
             else:
                 v = np.zeros((n, 8), np.uint8)
                 v[:, :5] = np.frombuffer(data, np.uint8).reshape(n, 5)
@@ -275,12 +279,12 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), and `kept`, the remaining bytes, if with_text."""
     spark = docs.sparkSession
     n_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    groups = bucketed(pack(docs), n_buckets)
+    start = written()
+    groups, name = bucketed(pack(docs), n_buckets)
     total = groups.select(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     blocks = max(n_buckets, -(-total * len(COVER) // (PERIOD * BLOCK_VALUES)))
     answers = None
     for number in (1, 2, 3, 4):
-        arrow_batches(spark)
         sent = _with_answers(groups, answers).mapInArrow(_send(number, blocks), SENT)
         new = materialize(sent.groupBy("block").applyInArrow(_settle(number), ANSWERS), f"answers{number}")
         answers = new if answers is None else answers.unionByName(new)
@@ -302,5 +306,8 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
                 columns = [pa.array(row["doc_ids"], pa.int64()), *(pa.array(c, k) for c, k in zip(out, kinds, strict=False))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(columns)])
 
-    arrow_batches(spark)
-    return _with_answers(groups, answers).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
+    out = _with_answers(groups, answers).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
+    out = materialize(out, "kept")
+    forget(spark, start)
+    spark.sql(f"DROP TABLE {name}")
+    return out
