@@ -20,6 +20,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Sequence
+from copy import copy
 from functools import lru_cache
 from itertools import chain
 
@@ -30,7 +31,7 @@ from pyspark.sql import types as T
 from spalt.llm.common import added, with_text_columns
 
 MARK = "▁"
-#: Cuts whose ids a worker remembers; beyond it, it starts anew.
+#: Cuts whose ids a task remembers; beyond it, it starts anew.
 STORE = 150_000
 
 
@@ -178,9 +179,14 @@ class Codec:
         return align[ends - sizes], align[ends]
 
 
-@lru_cache(maxsize=4)
+_loaded = lru_cache(maxsize=1)(Codec)
+
+
 def codec(model_file: str) -> Codec:
-    return Codec(model_file)
+    """The model's codec, loaded once in a worker, with a store of its own."""
+    c = copy(_loaded(model_file))
+    c.store = {}
+    return c
 
 
 def sha256(data: str) -> str:

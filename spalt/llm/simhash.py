@@ -254,9 +254,9 @@ def similar_rows(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Da
 
     Groups are the components of all pairs whose sets of shingles have that Jaccard similarity or more. Sets in one
     order of all hashes that are so similar have a hash in common among the first of each (prefix()), so no pair is
-    left out. Equal sets are one node. First each node meets the least one of each of its hashes, and what these links
-    join is one component; then only nodes of different components meet, so that a large group of near copies is joined
-    through its least members and never paired off. The sizes of two sets, the places of the hash and the sets' bitmaps
+    left out. Equal sets are one node. The head of a hash is the least node that has it. First each node meets the head of
+    most of its hashes, then its other heads if they are in another component still, then only nodes of different
+    components meet: a large group of near copies is joined through its heads and never paired off. The sizes of two sets, the places of the hash and the sets' bitmaps
     bound the similarity from above, so that few pairs are left whose sets must be compared.
     """
     held = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, words))
@@ -302,10 +302,20 @@ def similar_rows(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Da
     def marked(rows: DataFrame, side: str) -> DataFrame:
         return rows.join(marks.select(F.col("node").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in ("size", *bits))).hint("merge"), side)
 
-    first = found.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
-    first = marked(marked(first, "a"), "b").where(may_be("a_", "b_")).select("a", "b")
-    first = materialize(alike(close(first), rows_of, docs, similarity, words), "first")
-    part_of = materialize(nodes.select("node").join(components(first).hint("merge"), "node", "left").select("node", F.coalesce("root", "node").alias("part")), "parts")
+    def parts(links: DataFrame) -> DataFrame:
+        return materialize(nodes.select("node").join(components(links).hint("merge"), "node", "left").select("node", F.coalesce("root", "node").alias("part")), "parts")
+
+    met = found.where("node <> head").groupBy(F.col("node").alias("a"), F.col("head").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    met = materialize(marked(marked(met, "a"), "b").where(may_be("a_", "b_")).select("a", "b", "n"), "met")
+    nearest = met.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
+    first = materialize(alike(close(nearest), rows_of, docs, similarity, words), "nearest")
+    part_of = parts(first)
+    apart = met.select("a", "b")
+    for side in "ab":
+        apart = apart.join(part_of.select(F.col("node").alias(side), F.col("part").alias(f"{side}_part")).hint("merge"), side)
+    rest = alike(close(apart.where("a_part <> b_part").select("a", "b")), rows_of, docs, similarity, words)
+    first = materialize(first.unionByName(rest), "first")
+    part_of = parts(first)
 
     placed = materialize(found.join(part_of.hint("merge"), "node"), "placed")
     open_keys = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
