@@ -591,9 +591,9 @@ def dml_auto_increment(spark, d):
 
 @query("SELECT row_number() OVER (ORDER BY c_name) AS id, c_name AS name, c_acctbal AS v FROM customer")
 def dml_insert_select(spark, d):
-    """Rows of a DataFrame, numbered where they are."""
+    """Rows of a DataFrame, numbered where they are; those of one name in the order of their keys, which the SQL leaves open."""
     table = declared(Rule("id", "bigint", auto_increment=True, unique=True), Rule("name", "string", nullable=False), Rule("v", "double"))
-    return table.insert_from(table.empty(spark), t(spark, d, "customer", "c_name", "c_acctbal").select(F.col("c_name").alias("name"), F.col("c_acctbal").alias("v")), ["name"])
+    return table.insert_from(table.empty(spark), t(spark, d, "customer").select(F.col("c_name").alias("name"), F.col("c_acctbal").alias("v")), ["name", F.col("c_custkey")])
 
 
 @query("""SELECT s_suppkey, s_name, CASE WHEN s_acctbal < 0 THEN 0.0 ELSE s_acctbal END AS s_acctbal FROM supplier WHERE s_nationkey <> 3

@@ -24,6 +24,7 @@ from pyspark.sql.window import Window
 from spalt.errors import AnalysisError, ConstraintError, TypeMismatch
 from spalt.operators.names import fresh
 from spalt.operators.relational import Key, sort_keys
+from spalt.sources.shared import written
 
 
 @dataclass(frozen=True)
@@ -145,7 +146,9 @@ class Declared:
         """The rows of a DataFrame as the table holds them, if they may follow state.
 
         An AUTO_INCREMENT column that source lacks is numbered in `order`: Spark deals the rows to ranges, counts each
-        range, and a row's number is its range's first and its place there. source must give the same rows each time.
+        range, and a row's number is its range's first and its place there. The dealt rows are written once below the
+        shared folder: a second plan of the same rows would deal them to other ranges. Rows that the order leaves tied
+        come in any order.
         """
         self._known(source.columns)
         number = next((r.name for r in self.rules if r.auto_increment and r.name not in source.columns), None)
@@ -154,6 +157,7 @@ class Declared:
                 raise AnalysisError("INSERT: rows without numbers need an order")
             part, at = fresh("part", source), fresh("at", source)
             dealt = source.orderBy(*sort_keys(source, order)).withColumn(part, F.spark_partition_id()).withColumn(at, F.monotonically_increasing_id() % (1 << 33))
+            dealt = written(dealt)
             first = fresh("first", source)
             sizes = dealt.groupBy(part).count()  # a row for each range
             before = sizes.select(part, (F.sum("count").over(Window.orderBy(part)) - F.col("count")).alias(first))

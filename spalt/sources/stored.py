@@ -8,30 +8,16 @@ of a table format.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
-from functools import lru_cache
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from spalt.operators.relational import Key
 from spalt.sources.declared import Declared
-
-
-@lru_cache(maxsize=1)
-def _alone() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="spalt-")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; on one machine alone, a new folder where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return folder or _alone()
+from spalt.sources.shared import shared_folder
 
 
 @dataclass(frozen=True)

@@ -187,3 +187,15 @@ def test_sinks(spark, tmp_path):
     assert spark.read.csv(f"{tmp_path}/out", escape='"').count() == 4
     shown = tables.text_table(df, 4).split("\n")
     assert shown[0].startswith("id | s") and shown[3].split(" | ")[1] == "NULL" and shown[5].endswith("…")
+
+
+def test_numbers_follow_the_order_when_each_plan_would_deal_other_ranges(spark):
+    t = declared(Rule("id", "bigint", auto_increment=True, unique=True), Rule("name", "string", nullable=False), Rule("v", "bigint"))
+    n, kept = 60_000, spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    source = spark.range(0, n, 1, 6).select(F.format_string("n%06d", F.pmod(F.col("id") * 7919, F.lit(n))).alias("name"), F.col("id").alias("v"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several ranges, as of a large table
+    try:
+        got = rows(t.insert_from(t.empty(spark), source, ["name"]))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", kept)
+    assert sorted(got) == sorted((i * 7919 % n + 1, f"n{i * 7919 % n:06d}", i) for i in range(n))
