@@ -76,6 +76,8 @@ def exists_nested(outer: DataFrame, refs: Sequence[str], levels: Sequence[tuple[
 
     Each level's condition may name columns of the outer rows (refs) and of every level before it. The distinct values of
     refs meet the first level once; what passes is one row for each such value that the outer rows are matched with.
+    Rows that pass a level are paired off with the next, so a level whose values are only compared, not matched, should come
+    as the least or greatest value of its key where that decides.
     """
     (inner_, on), *rest = levels
     if not rest:

@@ -440,8 +440,10 @@ def nested_corr(spark, d):
 
 @query("SELECT n_nationkey FROM nation WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal > s_acctbal + 9000 AND EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 40 * s_acctbal AND o_orderstatus = 'F')))")
 def nested_three(spark, d):
-    n, s = t(spark, d, "nation", "n_nationkey"), t(spark, d, "supplier", "s_suppkey", "s_nationkey", "s_acctbal")
+    n, s = t(spark, d, "nation", "n_nationkey"), t(spark, d, "supplier", "s_nationkey", "s_acctbal")
     c, o = t(spark, d, "customer", "c_custkey", "c_nationkey", "c_acctbal"), t(spark, d, "orders", "o_custkey", "o_totalprice", "o_orderstatus").where("o_orderstatus = 'F'")
+    # the least balance of a nation decides: both conditions on it hold for it if they do for any other
+    s = A.aggregate(s, ["s_nationkey"], {"s_acctbal": F.min("s_acctbal")})
     levels = [
         (s, F.col("s_nationkey") == F.col("n_nationkey")),
         (c, (F.col("c_nationkey") == F.col("n_nationkey")) & (F.col("c_acctbal") > F.col("s_acctbal") + 9000)),
