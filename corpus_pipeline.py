@@ -38,6 +38,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: shingles of five words, an exact Jaccard similarity of 0.8 or more, and what such links reach.
 
+    SimHash fingerprints and the pigeonring filter link first and the sets of shingles confirm; pairs of that similarity whose
+    fingerprints lie further apart are found by an exact prefix filter.
     That of the least doc_id stays, one without a doc_id only if no other has one; of rows with the same doc_id the one
     whose text has the least hash. Null and empty texts have no shingles and are one group; a text of fewer than five words
     is one shingle.

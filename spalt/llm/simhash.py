@@ -15,8 +15,8 @@ both, so each emits the words within one bit of it (outside the equal segment) a
 of each word, a number of rows in proportion to the bucket. Links of both kinds lead to the same components.
 
 A fingerprint estimates a similarity, and a stage that must find every pair of a Jaccard similarity of 0.8 and no other can't
-decide by it. similar_rows() therefore takes its candidates from an exact prefix filter and bounds them by bitmaps before
-the sets of shingles are compared.
+decide by it alone. similar_rows() groups texts by their fingerprints as above, compares the sets of shingles of what these
+link, and finds the pairs that the fingerprints don't reach by an exact prefix filter, bounded by bitmaps.
 
 Defined results: a null text is like an empty one, fingerprint zero, linked like any other. A null doc_id counts as the
 largest: it names a component only if no other does. Rows with equal doc_id each get a row, repeated rows one each. A very
@@ -58,7 +58,11 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     starts = np.concatenate(([0], ends[:-words] + 1)).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist(), strict=True)], np.uint64)
+    return majority(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist(), strict=True)], np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The number whose bits are set in more than half of the hashes."""
     counts = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 16):
         counts += np.unpackbits(hashes[i : i + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
@@ -159,13 +163,17 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def linked(prints: DataFrame, distance: int = 2, bucket: int = BUCKET) -> DataFrame:
+    """prints and `root`, the least fingerprint of what links reach from fp; prints: distinct fingerprints in a column fp."""
+    roots = components(links(prints.select("fp"), distance, bucket))
+    return materialize(prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(*prints.columns, F.coalesce("root", "fp").alias("root")), "roots")
+
+
 def near_groups(docs: DataFrame, words: int = 3, distance: int = 2, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the least doc_id of what links reach from the row."""
     prints = materialize(fingerprints(docs, words), "prints")
     least = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(links(least.select("fp"), distance, bucket))
-    of_print = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    of_print = materialize(of_print, "roots")
+    of_print = linked(least, distance, bucket)
     of_root = materialize(of_print.groupBy("root").agg(F.min("least").alias("component_id")), "components")
     named = materialize(of_print.join(of_root, "root").select("fp", "component_id"), "named")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
@@ -249,14 +257,16 @@ def alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float
     return pairs.where(both * (1 + similarity) >= (F.size("a_found") + F.size("b_found")) * similarity - 1e-9).select("a", "b")
 
 
-def similar_rows(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def similar_rows(docs: DataFrame, words: int = 5, similarity: float = 0.8, distance: int = 2) -> DataFrame:
     """(row, least): the key of each row, and of the first row of its group; docs (row, text), with row from with_row_key().
 
     Groups are the components of all pairs whose sets of shingles have that Jaccard similarity or more. Sets in one
     order of all hashes that are so similar have a hash in common among the first of each (prefix()), so no pair is
-    left out. Equal sets are one node. First each node meets the least one of each of its hashes, and what these links
-    join is one component; then only nodes of different components meet, so that a large group of near copies is joined
-    through its least members and never paired off. The sizes of two sets, the places of the hash and the sets' bitmaps
+    left out. Equal sets are one node. First the nodes' SimHash fingerprints are linked through the pigeonring filter, and
+    each node's set is compared with that of the least node that its fingerprint reaches. Then each node meets the least one
+    of each of its hashes that the fingerprints have not joined with it, and what all these links join is one component; then
+    only nodes of different components meet, so that a large group of near copies is joined through its least members and
+    never paired off. The sizes of two sets, the places of the hash and the sets' bitmaps
     bound the similarity from above, so that few pairs are left whose sets must be compared.
     """
     held = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, words))
@@ -268,15 +278,15 @@ def similar_rows(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Da
         def compute(texts: list) -> list:
             found = list(shingle_sets(texts, words))
             maps = np.array([bitmap(x) for x in found]).reshape(-1, BITMAP)
-            return [[set_number(x) for x in found], [len(x) for x in found], *(pa.array(maps[:, i]) for i in range(BITMAP)), pa.array([prefix(x, similarity, common) for x in found], pa.list_(pa.int64())), pa.array([bitmap(x, WIDE) for x in found], pa.list_(pa.int64()))]
+            prints = np.array([majority(x.view(np.uint64)) for x in found], np.uint64).view(np.int64)
+            return [[set_number(x) for x in found], [len(x) for x in found], pa.array(prints), *(pa.array(maps[:, i]) for i in range(BITMAP)), pa.array([prefix(x, similarity, common) for x in found], pa.list_(pa.int64())), pa.array([bitmap(x, WIDE) for x in found], pa.list_(pa.int64()))]
 
         return compute
 
-    fields = [T.StructField("node", T.LongType()), T.StructField("size", T.IntegerType()), *(T.StructField(b, T.LongType()) for b in bits), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("wide", T.ArrayType(T.LongType()))]
+    fields = [T.StructField("node", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("fp", T.LongType()), *(T.StructField(b, T.LongType()) for b in bits), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("wide", T.ArrayType(T.LongType()))]
     prints = materialize(with_text_columns(docs, fields, make, keep=["row"]), "prints")
     # a null doc_id comes after all others
-    nodes = materialize(prints.groupBy("node").agg(F.min(F.struct(F.col("row.doc_id").isNull().alias("none"), "row")).alias("first"), *(F.min(c).alias(c) for c in ("size", *bits))), "nodes")
-    marks = nodes.select("node", "size", *bits)
+    nodes = materialize(prints.groupBy("node").agg(F.min(F.struct(F.col("row.doc_id").isNull().alias("none"), "row")).alias("first"), *(F.min(c).alias(c) for c in ("size", "fp", *bits))), "nodes")
     rows_of = nodes.select("node", "first.row")
     wides = materialize(prints.groupBy("node").agg(F.first("size").alias("size"), F.first("wide").alias("wide")), "wides")
 
@@ -288,6 +298,13 @@ def similar_rows(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Da
         apart = F.aggregate(F.zip_with("a_wide", "b_wide", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
         return pairs.where(apart * (1 + similarity) <= (F.col("a_size") + F.col("b_size")) * (1 - similarity) + 1e-9).select("a", "b")
 
+    of_print = linked(materialize(nodes.select("fp").distinct(), "distinct"), distance)
+    reached = with_least(materialize(nodes.select("node", "fp").join(of_print.hint("merge"), "fp").select(F.col("root").alias("u"), F.col("node").alias("v")), "linked"))
+    by_print = reached.where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    by_print = materialize(alike(close(by_print), rows_of, docs, similarity, words), "by_print")
+    joined = nodes.join(by_print.select(F.col("a").alias("node"), F.col("b").alias("joined")).hint("merge"), "node", "left")
+    marks = materialize(joined.select("node", F.coalesce("joined", "node").alias("joined"), "size", *bits), "marks")
+
     keyed = prints.select("node", F.posexplode("prefix").alias("at", "key"))
     heads = keyed.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head <> last").select("key", "head")
     heads = materialize(heads, "heads")
@@ -300,11 +317,11 @@ def similar_rows(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Da
         return (F.least(f"{x}size", f"{y}size") * (1 + similarity) >= total * similarity - 1e-9) & (apart * (1 + similarity) <= total * (1 - similarity) + 1e-9)
 
     def marked(rows: DataFrame, side: str) -> DataFrame:
-        return rows.join(marks.select(F.col("node").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in ("size", *bits))).hint("merge"), side)
+        return rows.join(marks.select(F.col("node").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in ("joined", "size", *bits))).hint("merge"), side)
 
     first = found.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
-    first = marked(marked(first, "a"), "b").where(may_be("a_", "b_")).select("a", "b")
-    first = materialize(alike(close(first), rows_of, docs, similarity, words), "first")
+    first = marked(marked(first, "a"), "b").where("a_joined <> b_joined").where(may_be("a_", "b_")).select("a", "b")
+    first = materialize(by_print.unionByName(alike(close(first), rows_of, docs, similarity, words)), "first")
     part_of = materialize(nodes.select("node").join(components(first).hint("merge"), "node", "left").select("node", F.coalesce("root", "node").alias("part")), "parts")
 
     placed = materialize(found.join(part_of.hint("merge"), "node"), "placed")

@@ -216,3 +216,32 @@ def test_common_shingles_and_chains(documents, monkeypatch):
         monkeypatch.setattr(simhash, "COMMON", common)
         got = {r.doc_id: r.component_id for r in simhash.similar_groups(documents(texts)).collect()}
         assert got == {i: find(i) for i in range(len(texts))}
+
+
+def test_similar_groups_link_fingerprints_and_compare_sets(documents, monkeypatch):
+    rng = random.Random(6)
+    base = [[f"w{rng.randrange(10**6)}" for _ in range(600)] for _ in range(30)]
+    texts = [" ".join(w) for w in base] + [" ".join([*w[:-1], "new"]) for w in base] + ["a b c", "", None, "d e f"]
+    want, calls, real = brute_similar(dict(enumerate(texts))), [], simhash.links
+
+    def counted(prints, *args):
+        found = real(prints, *args)
+        calls.append(found.count())
+        return found
+
+    def wrong(prints, *args):  # all are linked
+        return prints.crossJoin(prints.agg(simhash.F.min("fp").alias("a"))).where("fp <> a").selectExpr("a", "fp AS b")
+
+    def none(prints, *args):  # the exact way finds the pairs that no fingerprint reaches
+        return prints.selectExpr("fp AS a", "fp AS b").limit(0)
+
+    for links in (counted, wrong, none):
+        monkeypatch.setattr(simhash, "links", links)
+        assert {r.doc_id: r.component_id for r in simhash.similar_groups(documents(texts)).collect()} == want
+    assert len(calls) == 1 and calls[0] >= 10
+
+
+def test_majority_of_a_set(spark):
+    for text in (None, "", "one two", "a b c d e f g h", LONG[:2000]):
+        found = simhash.shingles(text).view(simhash.np.uint64).tolist()
+        assert simhash.majority(simhash.shingles(text).view(simhash.np.uint64)) == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in found) > len(found))
