@@ -109,3 +109,22 @@ def within(left_: DataFrame, right: DataFrame, x: str, low: str, high: str, widt
     placed = left_.withColumn(a, cell(x))
     spread = right.where(F.col(low) <= F.col(high)).withColumn(b, F.explode(F.sequence(cell(low), cell(high))))
     return placed.join(spread, (F.col(a) == F.col(b)) & F.col(x).between(F.col(low), F.col(high)), how).drop(a, b)
+
+
+def above(left_: DataFrame, right: DataFrame, left_key: str, right_key: str, value: str, bound: Column, salts: int = 32, parts: int = 200) -> DataFrame:
+    """left JOIN right ON left_key = right_key AND value > bound, for few keys: a left join of value against a bound of left rows.
+
+    Right rows, the many, are dealt to `salts` parts of their key and sent once; left rows go to each part. A part gives a
+    right row's pairs one after the other and its left rows in one order, so that what is written of them stays short.
+    Whether a left row has a pair is decided by its key's greatest value.
+    """
+    a, b, top, low = (fresh(n, left_, right) for n in ("salt", "salt_left", "top", "bound"))
+    bounded = left_.withColumn(low, bound)
+    dealt = right.withColumn(a, F.pmod(F.xxhash64(*right.columns), F.lit(salts))).repartition(parts, right_key, a)
+    copies = bounded.withColumn(b, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))).repartition(parts, left_key, b)
+    pairs = dealt.join(copies.hint("merge"), (F.col(right_key) == F.col(left_key)) & (F.col(a) == F.col(b)) & (F.col(value) > F.col(low)))
+    key = fresh("key", left_, right)
+    tops = right.groupBy(F.col(right_key).alias(key)).agg(F.max(value).alias(top))
+    alone = bounded.join(tops, F.col(left_key) == F.col(key), "left").where(~F.coalesce(F.col(top) > F.col(low), F.lit(False)))
+    padded = alone.select(*left_.columns, *(F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema))
+    return pairs.select(*left_.columns, *right.columns).unionByName(padded)

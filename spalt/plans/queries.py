@@ -146,8 +146,8 @@ def join_on_subquery(spark, d):
     s, c, o = t(spark, d, "supplier", "s_suppkey", "s_nationkey", "s_acctbal"), t(spark, d, "customer", "c_custkey", "c_nationkey"), t(spark, d, "orders", "o_custkey", "o_totalprice")
     # one row for each customer that has an order: the subquery is part of the pairing join
     most = c.join(o.groupBy("o_custkey").agg(F.max("o_totalprice").alias("most")), F.col("o_custkey") == F.col("c_custkey"))
-    j = J.salted(s, most, "s_nationkey", "c_nationkey", 16, F.col("most") > 40 * F.abs("s_acctbal"), "left")
-    return j.select("s_suppkey", "c_custkey")
+    most = most.select("c_custkey", "c_nationkey", "most")
+    return J.above(s, most, "s_nationkey", "c_nationkey", "most", 40 * F.abs("s_acctbal")).select("s_suppkey", "c_custkey")
 
 
 @query("SELECT o_orderkey, l_linenumber FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_quantity > 45 AND EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = l_suppkey AND s_acctbal > 0) AND o_totalprice > 150000")

@@ -45,3 +45,11 @@ def test_nested_three_meets_a_row_of_each_nation(spark, odd):
     df = QUERIES["nested_three"](spark, folder)
     assert_same(df, c, ORACLE["nested_three"])
     assert "min(s_acctbal" in df._jdf.queryExecution().optimizedPlan().toString()  # not each supplier with each customer
+
+
+def test_join_on_subquery_writes_each_customers_pairs_together(spark, odd, small, tmp_path):
+    folder, c = odd
+    assert_same(QUERIES["join_on_subquery"](spark, folder), c, ORACLE["join_on_subquery"])
+    pairs = QUERIES["join_on_subquery"](spark, folder).where("c_custkey IS NOT NULL")
+    runs = sum(a.c_custkey != b.c_custkey for part in pairs.rdd.glom().collect() for a, b in zip(part, part[1:], strict=False))
+    assert runs < 600 < pairs.count()  # a customer's rows come one after the other, so that columns of them stay short
