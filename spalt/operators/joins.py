@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from spalt.operators.names import fresh
 
@@ -111,20 +112,24 @@ def within(left_: DataFrame, right: DataFrame, x: str, low: str, high: str, widt
     return placed.join(spread, (F.col(a) == F.col(b)) & F.col(x).between(F.col(low), F.col(high)), how).drop(a, b)
 
 
-def above(left_: DataFrame, right: DataFrame, left_key: str, right_key: str, value: str, bound: Column, salts: int = 32, parts: int = 200) -> DataFrame:
+def above(left_: DataFrame, right: DataFrame, left_key: str, right_key: str, value: str, bound: Column, salts: int = 32, parts: int = 200, chunk: int = 128) -> DataFrame:
     """left JOIN right ON left_key = right_key AND value > bound, for few keys: a left join of value against a bound of left rows.
 
-    Right rows, the many, are dealt to `salts` parts of their key and sent once; left rows go to each part. A part gives a
-    right row's pairs one after the other and its left rows in one order, so that what is written of them stays short.
-    Whether a left row has a pair is decided by its key's greatest value.
+    Right rows, the many, are dealt to `salts` parts of their key and sent once; left rows go to each part, `chunk` of them in
+    a row and those of like bounds together. A part gives the pairs of a chunk with one right row after the other, so that
+    the same short runs of values repeat and what is written of the pairs stays small. Whether a left row has a pair is
+    decided by its key's greatest value.
     """
-    a, b, top, low = (fresh(n, left_, right) for n in ("salt", "salt_left", "top", "bound"))
+    salt, salt_left, top, low, key, at, some, one = (fresh(n, left_, right) for n in ("salt", "salt_left", "top", "bound", "key", "at", "some", "one"))
     bounded = left_.withColumn(low, bound)
-    dealt = right.withColumn(a, F.pmod(F.xxhash64(*right.columns), F.lit(salts))).repartition(parts, right_key, a)
-    copies = bounded.withColumn(b, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))).repartition(parts, left_key, b)
-    pairs = dealt.join(copies.hint("merge"), (F.col(right_key) == F.col(left_key)) & (F.col(a) == F.col(b)) & (F.col(value) > F.col(low)))
-    key = fresh("key", left_, right)
+    dealt = right.withColumn(salt, F.pmod(F.xxhash64(*right.columns), F.lit(salts))).repartition(parts, right_key, salt)
+    placed = bounded.where(F.col(left_key).isNotNull()).withColumn(at, F.floor((F.row_number().over(Window.partitionBy(left_key).orderBy(low)) - 1) / chunk))
+    chunks = placed.groupBy(F.col(left_key).alias(key), at).agg(F.sort_array(F.collect_list(F.struct(low, *left_.columns))).alias(some)).drop(at)
+    chunks = chunks.withColumn(salt_left, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))).repartition(parts, key, salt_left)
+    # the chunks are on the side that is read on, the right rows of a part on the side that is read again for each
+    met = chunks.join(dealt.hint("merge"), (F.col(key) == F.col(right_key)) & (F.col(salt_left) == F.col(salt)))
+    pairs = met.select(*right.columns, F.explode(some).alias(one)).where(F.col(value) > F.col(f"{one}.{low}"))
     tops = right.groupBy(F.col(right_key).alias(key)).agg(F.max(value).alias(top))
     alone = bounded.join(tops, F.col(left_key) == F.col(key), "left").where(~F.coalesce(F.col(top) > F.col(low), F.lit(False)))
     padded = alone.select(*left_.columns, *(F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema))
-    return pairs.select(*left_.columns, *right.columns).unionByName(padded)
+    return pairs.select(*(F.col(f"{one}.{c}").alias(c) for c in left_.columns), *right.columns).unionByName(padded)
